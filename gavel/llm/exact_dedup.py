@@ -19,6 +19,8 @@ from .common import LOWER, UPPER, Workspace, ascii_lower, table
 
 #: Bytes that each level looks at; the last one repeats.
 WIDTHS = (48, 1024, 16384, 262144, 4194304)
+#: Shared beginnings (at most WIDTHS[0] bytes each) are broadcast up to so many rows, about 50 MB.
+BROADCAST_ROWS = 500_000
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widths: tuple[int, ...] = WIDTHS, carry: bool = False) -> DataFrame:
@@ -32,7 +34,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [text])]).alias("row"))
     digit = F.substring(body, 1, widths[0])
     shared = work.write(rows.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit", F.monotonically_increasing_id().alias("gid")))
-    level = rows.withColumn("digit", digit).withColumn("text_sha256", F.sha2(body, 256)).join(shared, "digit", "left").drop("digit")
+    # Whole texts cross the network in this join only if shared beginnings are too many to broadcast.
+    heads = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    level = rows.withColumn("digit", digit).withColumn("text_sha256", F.sha2(body, 256)).join(heads, "digit", "left").drop("digit")
     if not carry:  # of documents that share their beginning with none, only the digest that is reported goes on
         level = level.withColumn("row", F.when(F.col("gid").isNotNull(), F.col("row")))
     level = work.write(level.withColumn("uid", F.monotonically_increasing_id()))
