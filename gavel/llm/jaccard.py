@@ -2,7 +2,7 @@
 
 Documents are sets of word shingles.  Equal sets are collapsed first.  A global order puts rare shingles first, so two sets
 over the threshold share one of their first ``n - ceil(t n) + 1`` shingles: candidates meet in the groups of such a shingle.  Each
-group's whole sets are stored, in one order, in a trie; a set is matched by one traversal that shares partial overlaps between
+family's whole sets are stored, in one order, in a trie; a set is matched by one traversal that shares partial overlaps between
 all sets with a common beginning and prunes subtrees whose remaining lengths cannot reach the needed overlap.  Links are
 verified exactly; since the result is connected components, subtrees already connected to the set are pruned too.
 
@@ -11,14 +11,16 @@ The order needs frequencies only for the shingles it ranks first.  So only a fix
 its prefix adds the next ones.  Sets whose prefix holds no shared shingle are linked with nothing and are never read again.
 
 Skew: equal sets count once.  Shingles of more than HOT sets are found by counts with map-side combining and get
-their frequency by a broadcast of at most 16384 rows.  A group that holds all of another is searched alone.  A large group is
-searched in blocks that share random pivots; if the blocks' results leave it in more than one component, what lies
-outside its largest component is searched against all blocks: no link is lost and no cap is set.
+their frequency by a broadcast of at most 16384 rows.  Groups that share sets form families, and a set is searched once in
+its family.  A large family is searched in blocks that share random pivots; where that leaves a shingle's group in more
+than one component, what lies outside the group's largest component is searched against the whole group: no link is lost and no
+cap is set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, WordHasher, Workspace, mix, shingle_set, table
 
-BUCKETS, HOT, BLOCK, BLOCK_TOKENS, PIVOTS, OUTSIDE = 1 << 16, 2000, 512, 1 << 20, 24, 1024
+BUCKETS, HOT, BLOCK, BLOCK_TOKENS, PIVOTS = 1 << 16, 2000, 512, 1 << 20, 24
 #: Ids of documents to read again are broadcast up to so many; beyond, the tables are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -96,104 +98,129 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-class Node:
-    """A trie node: the items on the edge to it, its children by first item, the sets that end here, and of all sets
-    below: least and largest size, one of them, and whether all were connected when last looked at."""
-
-    __slots__ = ("edge", "kids", "ends", "least", "most", "one", "uniform")
-
-    def __init__(self, edge: np.ndarray, size: int, one: int):
-        self.edge, self.kids, self.ends, self.least, self.most, self.one, self.uniform = edge, {}, [], size, size, one, True
-
-
-class PrefixTree:
-    """Sets of ranks (ascending), inserted and searched one by one; links go into the forest."""
-
-    def __init__(self, forest: Forest, vocabulary: int, num: int, den: int):
-        self.forest, self.num, self.den = forest, num, den
-        self.root = Node(np.empty(0, np.int64), 0, -1)
-        self.inside = np.zeros(vocabulary, bool)
-
-    def search(self, x: np.ndarray, me: int) -> None:
-        find, num, den, n, inside = self.forest.find, self.num, self.den, len(x), self.inside
-        inside[x] = True
-        shortest, longest = -(-num * n // den), n * den // num
-        stack = [(kid, 0, 0) for kid in self.root.kids.values()]
-        while stack:
-            node, overlap, depth = stack.pop()
-            if node.most < shortest or node.least > longest:
-                continue
-            if not node.uniform:
-                below = [find(e) for e in node.ends] + [find(k.one) if k.uniform else -1 for k in node.kids.values()]
-                node.uniform = below[0] >= 0 and all(c == below[0] for c in below)
-            if node.uniform and find(node.one) == find(me):
-                continue
-            edge = node.edge
-            overlap += int(np.count_nonzero(inside[edge]))
-            depth += len(edge)
-            rest = min(n - int(np.searchsorted(x, edge[-1], "right")), node.most - depth)
-            # overlap o of sizes n, m is enough if den * o >= num * (n + m - o)
-            if (overlap + rest) * (num + den) < num * (n + max(node.least, shortest)):
-                continue
-            for e in node.ends:
-                if overlap * (num + den) >= num * (n + depth):
-                    self.forest.join(e, me)
-            stack += [(kid, overlap, depth) for kid in node.kids.values()]
-        inside[x] = False
-
-    def insert(self, x: np.ndarray, me: int) -> None:
-        find = self.forest.find
-        node, at = self.root, 0
-        while at < len(x):
-            kid = node.kids.get(int(x[at]))
-            if kid is None:
-                new = Node(x[at:], len(x), me)
-                new.ends.append(me)
-                node.kids[int(x[at])] = new
-                return
-            k = min(len(kid.edge), len(x) - at)
-            differ = np.flatnonzero(kid.edge[:k] != x[at : at + k])
-            same = int(differ[0]) if len(differ) else k
-            if same < len(kid.edge):  # split the edge
-                middle = Node(kid.edge[:same], kid.least, kid.one)
-                middle.most, middle.uniform = kid.most, kid.uniform
-                kid.edge = kid.edge[same:]
-                middle.kids[int(kid.edge[0])] = kid
-                node.kids[int(x[at])] = kid = middle
-            kid.least, kid.most = min(kid.least, len(x)), max(kid.most, len(x))
-            kid.uniform = kid.uniform and find(kid.one) == find(me)
-            node, at = kid, at + same
-        node.ends.append(me)
-
-
-def link(sets: list[np.ndarray], num: int, den: int, connected: list[int] | None = None) -> list[int]:
-    """Component of each set (the least index in it), given components to begin with."""
+class Level(NamedTuple):
+    """The trie's nodes at one distance from the root, by arrays."""
+
+    parent: np.ndarray  # place in the level above
+    pool: np.ndarray  # items on the edges to the nodes, edge after edge
+    start: np.ndarray  # of each edge in the pool
+    depth: np.ndarray  # items from the root to the end of the edge
+    last: np.ndarray  # last item of the edge
+    least: np.ndarray  # sizes of the sets below
+    most: np.ndarray
+    ends: list[tuple[int, int]]  # (node, set) of the sets that end at a node of this level
+
+
+def grow(sets: list[np.ndarray]) -> list[Level]:
+    """The compressed prefix tree of sets of ascending items, level by level."""
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i4").tobytes())
+    depth, parent, one, ends = [0], [-1], [-1], []
+    stack, before = [0], None
+    for i in order:
+        s = sets[i]
+        common = 0
+        if before is not None:
+            k = min(len(before), len(s))
+            differ = np.flatnonzero(before[:k] != s[:k])
+            common = int(differ[0]) if len(differ) else k
+        popped = -1
+        while depth[stack[-1]] > common:
+            popped = stack.pop()
+        if depth[stack[-1]] < common:  # split the edge to the node left last
+            depth.append(common)
+            parent.append(stack[-1])
+            one.append(i)
+            parent[popped] = len(depth) - 1
+            stack.append(len(depth) - 1)
+        if len(s) > common:
+            depth.append(len(s))
+            parent.append(stack[-1])
+            one.append(i)
+            stack.append(len(depth) - 1)
+        ends.append((stack[-1], i))
+        before = s
+    n = len(depth)
+    least, most, level = [1 << 60] * n, [0] * n, [-1] * n
+    for node, i in ends:
+        least[node] = most[node] = len(sets[i])
+    by_depth = sorted(range(1, n), key=depth.__getitem__)
+    for v in reversed(by_depth):
+        u = parent[v]
+        least[u], most[u] = min(least[u], least[v]), max(most[u], most[v])
+    rows: list[list[int]] = []
+    place = [0] * n
+    for v in by_depth:
+        level[v] = level[parent[v]] + 1
+        if level[v] == len(rows):
+            rows.append([])
+        place[v] = len(rows[level[v]])
+        rows[level[v]].append(v)
+    out = []
+    for nodes in rows:
+        edges = [sets[one[v]][depth[parent[v]] : depth[v]] for v in nodes]
+        start = np.concatenate(([0], np.cumsum([len(e) for e in edges])[:-1])).astype(np.int64)
+        pick = lambda x: np.array([x[v] for v in nodes], np.int64)  # noqa: B023, E731
+        out.append(Level(np.array([place[parent[v]] for v in nodes]), np.concatenate(edges), start, pick(depth), np.array([e[-1] for e in edges]), pick(least), pick(most), []))
+    for node, i in ends:
+        out[level[node]].ends.append((place[node], i))
+    return out
+
+
+def matches(tree: list[Level], queries: list[np.ndarray], vocabulary: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """(query, set) of every pair over the threshold.
+
+    One walk down the tree for a batch of queries: each node's overlap is its parent's and its edge's; a subtree goes on for a
+    query only while what is left of the query and of the subtree's longest set can still reach the overlap that its
+    shortest set needs.
+    """
+    batch = int(np.clip((1 << 23) // max(1, vocabulary, *(len(x.pool) for x in tree)), 1, 64))
+    for at in range(0, len(queries), batch):
+        part = queries[at : at + batch]
+        inside = np.zeros((len(part), vocabulary), np.uint8)
+        for q, x in enumerate(part):
+            inside[q, x] = 1
+        size = np.array([len(x) for x in part], np.int64)[:, None]
+        overlap, alive = np.zeros((len(part), 1), np.int64), np.ones((len(part), 1), bool)
+        for level in tree:
+            alive = alive[:, level.parent] & (level.most * den >= num * size) & (level.least * num <= den * size)
+            some = np.flatnonzero(alive.any(0))
+            if not len(some):
+                break
+            overlap = overlap[:, level.parent] + np.add.reduceat(inside[:, level.pool], level.start, axis=1, dtype=np.int32)
+            passed = np.stack([np.searchsorted(x, level.last, "right") for x in part])
+            rest = np.minimum(size - passed, level.most - level.depth)
+            # overlap o of sizes n, m is enough if (num + den) * o >= num * (n + m)
+            alive &= (overlap + rest) * (num + den) >= num * (size + np.maximum(level.least, -(-num * size // den)))
+            if level.ends:
+                node = np.array([e[0] for e in level.ends])
+                fits = alive[:, node] & (overlap[:, node] * (num + den) >= num * (size + level.depth[node]))
+                for q, e in zip(*np.nonzero(fits)):
+                    yield at + int(q), level.ends[int(e)][1]
+
+
+def link(sets: list[np.ndarray], num: int, den: int, visiting: list[bool] | None = None) -> list[int]:
+    """Component of each set (the least index in it).  With ``visiting``, only pairs of a visiting and another set count."""
     forest = Forest(len(sets))
-    first: dict[int, int] = {}
-    for i, c in enumerate(connected or ()):
-        forest.join(first.setdefault(c, i), i)
+    guests = [i for i in range(len(sets)) if visiting is None or visiting[i]]
+    hosts = [i for i in range(len(sets)) if visiting is None or not visiting[i]]
+    if not guests or not hosts:
+        return forest.up
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))  # frequent items first: long shared beginnings
-    ranked = rank[back]
-    tree, at, slices = PrefixTree(forest, len(count), num, den), 0, []
-    for s in sets:
-        slices.append((at, at + len(s)))
-        at += len(s)
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        x = np.sort(ranked[slice(*slices[i])])
-        tree.search(x, i)
-        tree.insert(x, i)
+    rank = np.empty(len(count), np.int32)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.int32)  # frequent items first: long shared beginnings
+    stops = np.cumsum([len(s) for s in sets])
+    ranked = [np.sort(x) for x in np.split(rank[back], stops[:-1])]
+    for q, i in matches(grow([ranked[i] for i in hosts]), [ranked[i] for i in guests], len(count), num, den):
+        forest.join(guests[q], hosts[i])
     return [forest.find(i) for i in range(len(sets))]
 
 
 def _link_group(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("uid")
         ids = pdf["uid"].to_numpy()
-        known = pdf["label"].tolist() if "label" in pdf.columns else None
-        found = link([np.asarray(x, np.int64) for x in pdf["items"]], num, den, known)
-        rows = [(ids[i], ids[c]) for i, c in enumerate(found) if i != c]
+        visiting = pdf["visiting"].tolist() if "visiting" in pdf.columns else None
+        found = link([np.asarray(x, np.int64) for x in pdf["items"]], num, den, visiting)
+        rows = [(ids[i], ids[c]) for i, c in enumerate(found) if ids[i] != ids[c]]
         return pd.DataFrame({"u": [r[0] for r in rows], "v": [r[1] for r in rows]}, dtype="int64")
 
     return run
@@ -205,16 +232,15 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     labels = work.write(both.groupBy(F.col("u").alias("uid")).agg(F.min("v").alias("near")).select("uid", F.least("uid", "near").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("uid", "v"), "v").groupBy(F.col("u").alias("uid")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "uid").select("uid", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        moved = work.write(moved)
-        jump = moved.select(F.col("uid").alias("label"), F.col("label").alias("to"))
-        following = work.write(moved.join(jump, "label", "left").select("uid", F.least("label", F.coalesce("to", "label")).alias("label"), "was"))
-        work.drop(moved)
+        moved = labels.withColumnRenamed("label", "was").join(near, "uid").select("uid", "was", F.least("was", "near").alias("to"))
+        jump = labels.select(F.col("uid").alias("to"), F.col("label").alias("root"))
+        following = work.write(moved.join(jump, "to").select("uid", F.least("to", "root").alias("label"), "was"))
         work.drop(labels)
         changed = not following.where("label != was").isEmpty()
         labels = following.select("uid", "label")
         labels.stored_at = following.stored_at
         if not changed:
+            work.drop(both)
             return labels
 
 
@@ -240,9 +266,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     hot = hot_tokens(tokens, work)
     kept = prefix_tokens(tokens, hot, region, work)
     work.drop(once)
-    groups = covering_groups(kept, work)
-    work.drop(kept)
-    labels = search(docs, reps, groups, width, num, den, doc_id, body, work)
+    labels = search(docs, reps, kept, width, num, den, doc_id, body, work)
     own = reps.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     heads = work.write(own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("head")).select("label", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head")))
     named = work.write(own.join(heads, "label").select("a", "b", "n", "component_id", "head"))
@@ -258,10 +282,9 @@ def hot_tokens(tokens: DataFrame, work: Workspace) -> DataFrame:
     Counts of ``BUCKETS`` classes of shingles first, then of the shingles of the classes that are large enough.
     """
     bucket = F.col("token").bitwiseAND(BUCKETS - 1).alias("bucket")
-    counts = work.write(tokens.groupBy(bucket).count())
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    least = max(HOT, 4 * total // BUCKETS)
-    large = [r[0] for r in counts.where(F.col("count") >= least).select("bucket").limit(BUCKETS).collect()]
+    counts = tokens.groupBy(bucket).count().collect()  # at most BUCKETS rows
+    least = max(HOT, 4 * sum(r[1] for r in counts) // BUCKETS)
+    large = [r[0] for r in counts if r[1] >= least]
     if not large:
         return work.write(tokens.where("false").select("token", F.lit(0).cast("long").alias("freq")))
     spark = tokens.sparkSession
@@ -283,24 +306,13 @@ def prefix_tokens(tokens: DataFrame, hot: DataFrame, region: int, work: Workspac
     return work.write(lists.withColumn("ts", F.slice("ts", F.lit(1), keep)).where("size(ts) > 0").select("uid", F.explode("ts.token").alias("token")))
 
 
-def covering_groups(kept: DataFrame, work: Workspace) -> DataFrame:
-    """(token, uid) of the groups of at least two sets that are not part of another group."""
-    sizes = work.write(kept.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    sized = work.write(kept.join(sizes, "token"))
-    own = sized.groupBy("uid").agg(F.collect_list("token").alias("tokens"), F.max(F.struct("size", "token")).alias("best"))
-    rows = work.write(sized.select("token", "uid").join(own, "uid"))
-    over = work.write(rows.groupBy("token").agg(F.max("best").alias("over")).select("token", F.col("over.token").alias("over")))
-    part = rows.join(over.where("over != token"), "token").groupBy("token").agg(F.min(F.array_contains("tokens", F.col("over"))).alias("part")).where("part").select("token")
-    part = work.write(part)
-    out = work.write(sized.select("token", "uid").join(part, "token", "left_anti"))
-    for t in (sizes, sized, rows, over, part):
-        work.drop(t)
-    return out
-
-
-def search(docs: DataFrame, reps: DataFrame, groups: DataFrame, width: int, num: int, den: int, doc_id: str, body, work: Workspace) -> DataFrame:
+def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: int, den: int, doc_id: str, body, work: Workspace) -> DataFrame:
     """(uid, label) of the sets that are linked with another."""
-    members = work.write(groups.select("uid").distinct().join(reps, "uid"))
+    sizes = kept.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("least")).where("size > 1")
+    groups = work.write(kept.join(sizes, "token"))
+    # Families: what shared shingles connect.  Links are inside families only, and most families are small.
+    family = components(groups.where("uid != least").select(F.col("uid").alias("u"), F.col("least").alias("v")), work).withColumnRenamed("label", "family")
+    members = work.write(family.join(reps, "uid"))
     wanted = members.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -308,25 +320,37 @@ def search(docs: DataFrame, reps: DataFrame, groups: DataFrame, width: int, num:
     texts = docs.select(F.coalesce(key, F.lit(-1)).alias("_id"), key.isNull().alias("_none"), body.alias("_body")).join(wanted, ["_id", "_none"], "left_semi").select("_body")
     whole = texts.mapInArrow(_whole_sets(width), "a long, b long, n int, items array<long>")
     whole = work.write(whole.join(members.select("a", "b", "n", "uid"), ["a", "b", "n"]).select("uid", "n", "items").dropDuplicates(["uid"]))
-    sizes = groups.join(whole.select("uid", "n"), "uid").groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
-    sizes = work.write(sizes.select("token", "size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("items") / BLOCK_TOKENS)).cast("int").alias("blocks")))
-    sized = work.write(groups.join(sizes, "token").withColumn("own", F.expr("cast(pmod(xxhash64(uid), blocks) as int)")))
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("uid", "token"), F.col("size")) < PIVOTS)
-    placed = sized.select("token", "uid", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
-    edges = placed.join(whole, "uid").groupBy("token", "block").applyInPandas(_link_group(num, den), "u long, v long")
-    edges = work.write(edges.distinct())
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    sized = work.write(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), blocks))
+    placed = members.select("family", "uid").join(sized, "family")
+    # A large family is searched in blocks that share a few random sets: enough to connect them if it is one component.
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("uid"), F.col("size")) < PIVOTS)
+    own = F.expr("cast(pmod(xxhash64(uid, 0), blocks) as int)")
+    placed = placed.select("family", "uid", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
+    edges = work.write(placed.join(whole, "uid").groupBy("family", "block").applyInPandas(_link_group(num, den), "u long, v long").distinct())
     labels = components(edges, work)
-    # Large groups that are still in several components: what is outside the largest one meets every block.
-    split = sized.where("blocks > 1").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    counts = work.write(split.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")))
-    main = counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all")).withColumn("outside", F.col("all") - F.col("main.n")).where("outside > 0")
-    main = work.write(main.select("token", F.col("main.label").alias("main"), F.expr(f"cast(ceil(outside / {OUTSIDE}) as int)").alias("out_blocks")))
+    large = sized.where("blocks > 1").select("family")
+    if large.isEmpty():
+        return labels
+    # In large families, groups that still have several components: what is outside a group's largest component visits every
+    # block of the group.  A group is all sets with a shingle, or the family itself where that makes fewer pairs.
+    ours = groups.select("token", "uid", "size").join(members.select("uid", "family", "n"), "uid").join(large, "family", "left_semi").join(labels, "uid", "left")
+    ours = work.write(ours.withColumn("label", F.coalesce("label", "uid")))
+    dense = ours.groupBy("family").agg(F.sum("size").alias("pairs")).join(sized.where("blocks > 1"), "family").where("pairs >= size * size").select("family")
+    dense = work.write(dense)
+    rest = ours.join(dense, "family", "left_anti").select(F.lit(False).alias("whole"), F.col("token").alias("grp"), "uid", "n", "label")
+    rest = work.write(rest.unionByName(ours.join(dense, "family").select(F.lit(True).alias("whole"), F.col("family").alias("grp"), "uid", "n", "label").distinct()))
+    main = rest.groupBy("whole", "grp", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    main = main.groupBy("whole", "grp").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("outside", F.col("k") - F.col("main.k")).where("outside > 0")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    # As many visitors in a task as sets that they visit.
+    main = work.write(main.select("whole", "grp", F.col("main.label").alias("main"), blocks, F.greatest(F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("n") * F.col("outside") / F.col("k") / BLOCK_TOKENS)).cast("int").alias("out_blocks")))
     if main.isEmpty():
         return labels
-    rest = split.join(main, "token").withColumn("out", F.expr("cast(pmod(xxhash64(uid, 1), out_blocks) as int)"))
-    at_home = rest.select("token", "uid", "label", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"))
-    visiting = rest.where("label != main").select("token", "uid", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "out")
-    more = at_home.unionByName(visiting).join(whole, "uid").groupBy("token", "block", "out").applyInPandas(_link_group(num, den), "u long, v long")
+    rest = rest.join(main, ["whole", "grp"]).withColumn("block", F.expr("cast(pmod(xxhash64(uid, 0), blocks) as int)")).withColumn("out", F.expr("cast(pmod(xxhash64(uid, 1), out_blocks) as int)"))
+    at_home = rest.select("whole", "grp", "uid", F.lit(False).alias("visiting"), "block", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"))
+    guests = rest.where("label != main").select("whole", "grp", "uid", F.lit(True).alias("visiting"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "out")
+    more = at_home.unionByName(guests).join(whole, "uid").groupBy("whole", "grp", "block", "out").applyInPandas(_link_group(num, den), "u long, v long")
     return components(edges.union(work.write(more.distinct())), work)
 
 
