@@ -30,6 +30,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.live: set[str] = set()
         atexit.register(self.drop, self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -38,8 +39,21 @@ class Workspace:
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.stored_at = path
+        self.live.add(path)
         return back
 
+    def write_over(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Writes a smaller version of a table and drops the old one."""
+        back = self.write(new)
+        self.drop(old)
+        return back
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        keep = {t.stored_at for t in tables}
+        for path in self.live - keep:
+            self.drop(path)
+        self.live &= keep
+
     def drop(self, table: DataFrame | str) -> None:
         path = table if isinstance(table, str) else table.stored_at
         try:

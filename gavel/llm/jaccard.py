@@ -19,6 +19,7 @@ cap is set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -266,14 +267,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     hot = hot_tokens(tokens, work)
     kept = prefix_tokens(tokens, hot, region, work)
     work.drop(once)
+    sets = work.write_over(sets, sets.drop("tokens", "slack"))
     labels = search(docs, reps, kept, width, num, den, doc_id, body, work)
     own = reps.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     heads = work.write(own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("head")).select("label", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head")))
     named = work.write(own.join(heads, "label").select("a", "b", "n", "component_id", "head"))
+    work.drop_all_but(named, sets)
     # A hot set's rows meet a single row here, read from a table: adaptive execution can split them.
     out = sets.select("doc_id", "uid", "a", "b", "n").join(named, ["a", "b", "n"], "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("head"))).alias("first"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("head"))).alias("first"))
+    out.workspace = work
+    return out
 
 
 def hot_tokens(tokens: DataFrame, work: Workspace) -> DataFrame:
@@ -308,10 +313,17 @@ def prefix_tokens(tokens: DataFrame, hot: DataFrame, region: int, work: Workspac
 
 def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: int, den: int, doc_id: str, body, work: Workspace) -> DataFrame:
     """(uid, label) of the sets that are linked with another."""
-    sizes = kept.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("least")).where("size > 1")
+    # A shingle's group is divided by size classes: only sets of one class or of neighbouring ones can be linked, so a set
+    # stands in two, as two nodes.  Keys are hashes: a collision only makes a group larger.
+    at = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9) if num < den else 1e-9))
+    kept = kept.join(reps.select("uid", "n"), "uid").select("uid", "token", F.explode(F.array(at, at + 1)).alias("class"))
+    kept = work.write(kept.select(F.xxhash64("token", "class").alias("token"), (F.col("uid") * 2 + F.pmod("class", F.lit(2))).alias("node")))
+    sizes = kept.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
     groups = work.write(kept.join(sizes, "token"))
+    work.drop(kept)
     # Families: what shared shingles connect.  Links are inside families only, and most families are small.
-    family = components(groups.where("uid != least").select(F.col("uid").alias("u"), F.col("least").alias("v")), work).withColumnRenamed("label", "family")
+    family = components(groups.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")), work)
+    family = family.select(F.col("uid").alias("node"), F.expr("shiftright(uid, 1)").alias("uid"), F.col("label").alias("family"))
     members = work.write(family.join(reps, "uid"))
     wanted = members.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
     if members.count() <= BROADCAST_ROWS:
@@ -319,7 +331,7 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     key = F.col(f"`{doc_id}`").cast("long")
     texts = docs.select(F.coalesce(key, F.lit(-1)).alias("_id"), key.isNull().alias("_none"), body.alias("_body")).join(wanted, ["_id", "_none"], "left_semi").select("_body")
     whole = texts.mapInArrow(_whole_sets(width), "a long, b long, n int, items array<long>")
-    whole = work.write(whole.join(members.select("a", "b", "n", "uid"), ["a", "b", "n"]).select("uid", "n", "items").dropDuplicates(["uid"]))
+    whole = work.write(whole.join(members.select("a", "b", "n", "uid").distinct(), ["a", "b", "n"]).select("uid", "n", "items").dropDuplicates(["uid"]))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
     sized = work.write(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), blocks))
     placed = members.select("family", "uid").join(sized, "family")
@@ -334,7 +346,7 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
         return labels
     # In large families, groups that still have several components: what is outside a group's largest component visits every
     # block of the group.  A group is all sets with a shingle, or the family itself where that makes fewer pairs.
-    ours = groups.select("token", "uid", "size").join(members.select("uid", "family", "n"), "uid").join(large, "family", "left_semi").join(labels, "uid", "left")
+    ours = groups.select("token", "node", "size").join(members.select("node", "uid", "family", "n"), "node").drop("node").join(large, "family", "left_semi").join(labels, "uid", "left")
     ours = work.write(ours.withColumn("label", F.coalesce("label", "uid")))
     dense = ours.groupBy("family").agg(F.sum("size").alias("pairs")).join(sized.where("blocks > 1"), "family").where("pairs >= size * size").select("family")
     dense = work.write(dense)
@@ -363,6 +375,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> Data
     work = Workspace(docs.sparkSession, "jaccard")
     judged = jaccard_components(docs, doc_id=doc_id, **options)
     gone = work.write(judged.groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")))
+    judged.workspace.drop_all_but()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     key = F.col(f"`{doc_id}`").cast("long")
