@@ -12,7 +12,7 @@ has a single row for it, read from a table, so that adaptive execution can split
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Workspace, ascii_lower, table
@@ -23,25 +23,24 @@ WIDTHS = (48, 1024, 16384, 262144, 4194304)
 BROADCAST_ROWS = 500_000
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widths: tuple[int, ...] = WIDTHS, carry: bool = False) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for every row; with ``carry`` the whole row too, as struct ``row``.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty.  The row with the largest doc_id of a group
     stays; a null doc_id is smaller than any other; of repeated rows with that doc_id exactly one stays.
     """
     work = Workspace(docs.sparkSession, "exact_dedup")
-    body = F.encode(ascii_lower(F.coalesce(F.col("row")[text], F.lit(""))), "UTF-8")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry else [text])]).alias("row"))
+    body = F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     digit = F.substring(body, 1, widths[0])
     shared = work.write(rows.groupBy(digit.alias("digit")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digit", F.monotonically_increasing_id().alias("gid")))
     # Whole texts cross the network in this join only if shared beginnings are too many to broadcast.
     heads = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     level = rows.withColumn("digit", digit).withColumn("text_sha256", F.sha2(body, 256)).join(heads, "digit", "left").drop("digit")
-    if not carry:  # of documents that share their beginning with none, only the digest that is reported goes on
-        level = level.withColumn("row", F.when(F.col("gid").isNotNull(), F.col("row")))
-    level = work.write(level.withColumn("uid", F.monotonically_increasing_id()))
+    # Of documents that share their beginning with none, only the digest that is reported goes on.
+    level = work.write(level.withColumn("text", F.when(F.col("gid").isNotNull(), F.col("text"))).withColumn("uid", F.monotonically_increasing_id()))
     work.drop(shared)
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *(["row"] if carry else [])]
+    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     done = level.where("gid is null").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(out)
     at, i = widths[0], 1
     while not (open_rows := level.where("gid is not null")).isEmpty():
@@ -51,17 +50,36 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         ended = (F.length("digit") < w) | (F.col("n") == 1)
         # The uid of its largest row names a group from here on.
         joined = open_rows.join(groups, ["gid", "digit"]).withColumns({"gid": F.when(~ended, F.col("top.uid")), "keep_id": F.col("top.doc_id"), "group_size": F.col("n"), "kept": F.col("uid") == F.col("top.uid")})
-        if not carry:
-            joined = joined.withColumn("row", F.when(F.col("gid").isNotNull(), F.col("row")))
-        level = work.write(joined.drop("digit", "n", "top"))
+        level = work.write(joined.withColumn("text", F.when(F.col("gid").isNotNull(), F.col("text"))).drop("digit", "n", "top"))
         work.drop(groups)
         done, at, i = done.unionByName(level.where("gid is null").select(out)), at + w, i + 1
+    done.workspace = work
     return done
 
 
-def drop_exact_copies(docs: DataFrame, **names) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one for each distinct text."""
-    return exact_dedup(docs, carry=True, **names).where("kept").select("row.*")
+    work = Workspace(docs.sparkSession, "exact_dedup")
+    found = exact_dedup(docs, doc_id, text)
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("every")).where("not every")
+    gone = work.write(ids.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("some").alias("_some")))
+    doubt = gone.where("_some")
+    key = F.col(f"`{doc_id}`").cast("long")
+    marked = docs.withColumns({"_id": F.coalesce(key, F.lit(-1)), "_none": key.isNull()})
+    few = gone.count() <= BROADCAST_ROWS
+    wrap = F.broadcast if few else lambda df: df
+    sure = marked.join(wrap(gone), ["_id", "_none"], "left_anti").drop("_id", "_none")
+    if doubt.isEmpty():
+        found.workspace.drop_all_but()
+        return sure
+    # Rows that repeat a doc_id of which some stay and some go: told apart by their texts, then by number.
+    stay = work.write(found.where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_sha256").alias("_text")).join(doubt.drop("_some"), ["_id", "_none"], "left_semi"))
+    found.workspace.drop_all_but()
+    digest = F.sha2(F.encode(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "UTF-8"), 256)
+    rest = marked.join(wrap(doubt.drop("_some")), ["_id", "_none"], "left_semi").withColumn("_text", digest).join(stay, ["_id", "_none", "_text"], "left_semi")
+    one = Window.partitionBy("_id", "_none", "_text").orderBy(F.lit(0))
+    rest = rest.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_id", "_none", "_text", "_n")
+    return sure.unionByName(rest)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,8 +60,9 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2,
     """
     work = Workspace(docs.sparkSession, "mixing")
     size = word_count(F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    rows = work.write(rows)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"), F.monotonically_increasing_id().alias("uid"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    whole = work.write(rows)
+    rows = whole.drop("row")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     stats = work.write(stats)
     plan = targets(stats.select("source", "source_size"), factor, weights, most)
@@ -70,9 +71,8 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2,
     named = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie")), F.greatest(F.lit(1).cast("long"), F.expr(f"n div {BUCKET_ROWS}")))
     laid = named.withColumn("bucket", bucket).drop("n")
-    own = Window.partitionBy("rank", "bucket").orderBy("doc_id", "tie")
+    own = Window.partitionBy("rank", "bucket").orderBy("doc_id", "tie", "uid")
     laid = work.write(laid.withColumn("end", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(own)).drop("tie"))
-    work.drop(rows)
     # Blocks of each bucket, numbered through the source.
     buckets = laid.groupBy("rank", "bucket").agg(F.max("end").alias("words")).withColumn("blocks", F.expr(f"(words + {block - 1}) div {block}"))
     buckets = buckets.withColumn("first", F.sum("blocks").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))
@@ -96,6 +96,8 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2,
     overlap = F.expr(f"least(end, (b + 1) * {block}) - greatest(end - size, b * {block})")
     taken = touched.select("rank", "bucket", "rn", (F.col("first") + F.col("b")).alias("index"), overlap.alias("part")).join(times, ["rank", "index"]).groupBy("rank", "bucket", "rn").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = laid.join(taken, ["rank", "bucket", "rn"], "left")
+    if carry:  # whole rows move once, and only those that the mix takes
+        out = whole.select("uid", "row").join(out.where("taken > 0"), "uid")
     out = out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
     return out, slots.join(quota.select("rank", "source"), "rank")
 

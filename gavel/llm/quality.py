@@ -55,7 +55,7 @@ def bag(data: bytes, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0)
     weight = np.concatenate([np.full(len(k), 1 / (len(k) * len(kinds))) for k in kinds])
     ids, back = np.unique(np.concatenate(kinds), return_inverse=True)
-    return ids.astype(np.int64), np.bincount(back, weight)
+    return ids.astype(np.int32), np.bincount(back, weight).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
@@ -63,7 +63,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[np.nda
     rng = np.random.default_rng(seed)
     hasher = WordHasher()
     bags = [bag(t, hasher) for t in texts]
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (3 * BUCKETS, DIM))
+    del texts
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (3 * BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.uniform(-0.1, 0.1, (DIM, 2)), np.zeros(2)
     steps, total = 0, EPOCHS * max(1, len(bags))
     for _ in range(EPOCHS if len(set(labels)) > 1 else 0):
