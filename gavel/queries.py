@@ -1,4 +1,116 @@
-"""Queries of the judgment engine, by name, with the SQL each is compared with."""
+"""Queries of the judgment engine, by name, with the SQL each is compared with.
+
+The offline provider is arithmetic on bytes, so DuckDB can compute its answers: an FNV-1a hash over the canonical state,
+the kind, the question and the choices.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gavel.functions.sql import register
+from gavel.plans.judge import JudgmentSession, choice, prob, yes
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
+LABELS = ("low", "normal", "high")
+
+
+def _fold(text: str) -> str:
+    return f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::UTINYINT::UHUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _p(state: str, criterion: str) -> str:
+    return f"(({_fold(f'{state} || {chr(39)}noul{criterion}{chr(39)}')} % 1000001)::DOUBLE / 1000000.0)"
+
+
+def _c(state: str, question: str, labels: tuple[str, ...]) -> str:
+    tail = "".join(f" || chr(31) || '{x}'" for x in labels)
+    fold = _fold(f"{state} || 'choice{question}'{tail}")
+    return f"list_extract([{', '.join(f'{chr(39)}{x}{chr(39)}' for x in labels)}], ({fold} % {len(labels)})::INT + 1)"
+
+
+def _struct(**fields: str) -> str:
+    inner = " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in sorted(fields.items()))
+    return f"""('{{"canonical_version":1,"state":{{"t":"struct","f":{{' || {inner} || '}}}}}}')"""
+
+
+def _int(c: str) -> str:
+    return f"""'{{"t":"int","v":"' || {c} || '"}}'"""
+
+
+def _float(c: str) -> str:
+    return f"""'{{"t":"float","v":' || {c}::VARCHAR || '}}'"""
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark)
+        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in spark_sql}
+        return spark.sql(spark_sql, **frames)
+
+    QUERIES[name] = run
+    if oracle:
+        ORACLE_SQL[name] = oracle
+
+
+LIST = "array('low', 'normal', 'high')"
+_sql("prob_text", "SELECT item_id, jev_prob(text, 'is it clear?') AS p FROM {benchmark}", f"SELECT item_id, {_p('text', 'is it clear?')} AS p FROM benchmark")
+_sql("bool_filter", "SELECT event_type, count(*) AS n FROM {events} WHERE jev_bool(event_type, 'is it a sale?') GROUP BY event_type", f"WITH t AS (SELECT DISTINCT event_type, {_p('event_type', 'is it a sale?')} AS p FROM (SELECT DISTINCT event_type FROM events)) SELECT event_type, count(*) AS n FROM events JOIN t USING (event_type) WHERE p >= 0.5 GROUP BY event_type")
+_sql("choice_text", f"SELECT c_custkey, jev_choice(c_mktsegment, 'which level?', {LIST}) AS label FROM {{customer}}", f"WITH t AS (SELECT c_mktsegment, {_c('c_mktsegment', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, label FROM customer JOIN t USING (c_mktsegment)")
+_STATE = _struct(quantity=_float("l_quantity"), discount=_float("l_discount"), line=_int("l_linenumber"))
+_LINE = "named_struct('quantity', l_quantity, 'discount', l_discount, 'line', l_linenumber)"
+_DISTINCT = "(SELECT DISTINCT l_quantity, l_discount, l_linenumber FROM lineitem)"
+_sql("prob_struct", f"SELECT l_orderkey, l_linenumber, jev_prob({_LINE}, 'is it large?') AS p FROM {{lineitem}}", f"WITH t AS (SELECT *, {_p(_STATE, 'is it large?')} AS p FROM {_DISTINCT}) SELECT l_orderkey, l_linenumber, p FROM lineitem JOIN t USING (l_quantity, l_discount, l_linenumber)")
+_sql("choice_struct", f"SELECT l_linenumber, jev_choice({_LINE}, 'which level?', {LIST}) AS label, count(*) AS n FROM {{lineitem}} GROUP BY ALL", f"WITH t AS (SELECT *, {_c(_STATE, 'which level?', LABELS)} AS label FROM {_DISTINCT}) SELECT l_linenumber, label, count(*) AS n FROM lineitem JOIN t USING (l_quantity, l_discount, l_linenumber) GROUP BY ALL")
+_sql("prob_struct_null", "SELECT p_partkey, jev_prob(named_struct('size', nullif(p_size, 7), 'brand', p_brand), 'is it big?') AS p FROM {part}", f"""SELECT p_partkey, {_p(_struct(brand="'{\"t\":\"text\",\"v\":\"' || p_brand || '\"}'", size="CASE WHEN p_size = 7 THEN '{\"t\":\"null\"}' ELSE " + _int('p_size') + " END"), 'is it big?')} AS p FROM part""")
+_sql("nulls", "SELECT c_custkey, jev_prob(nullif(c_mktsegment, 'BUILDING'), 'q') AS a, jev_bool(c_name, cast(NULL AS string)) AS b, jev_choice(c_name, 'q', cast(NULL AS array<string>)) AS c FROM {customer}", f"WITH t AS (SELECT c_mktsegment, {_p('c_mktsegment', 'q')} AS p FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, CASE WHEN c_mktsegment != 'BUILDING' THEN p END AS a, NULL::BOOLEAN AS b, NULL::VARCHAR AS c FROM customer JOIN t USING (c_mktsegment)")
+_sql("prefilter", "SELECT o_orderkey, jev_prob(o_orderpriority, 'is it urgent?') AS p FROM {orders} WHERE o_orderkey % 2 = 0 AND jev_prob(o_orderpriority, 'is it urgent?') >= 0.2", f"WITH t AS (SELECT o_orderpriority, {_p('o_orderpriority', 'is it urgent?')} AS p FROM (SELECT DISTINCT o_orderpriority FROM orders)) SELECT o_orderkey, p FROM orders JOIN t USING (o_orderpriority) WHERE o_orderkey % 2 = 0 AND p >= 0.2")
+_sql("topk", "SELECT s_suppkey, jev_prob(s_name, 'is it reliable?') AS p FROM {supplier} ORDER BY p DESC, s_suppkey LIMIT 10", f"SELECT s_suppkey, {_p('s_name', 'is it reliable?')} AS p FROM supplier ORDER BY p DESC, s_suppkey LIMIT 10")
+_sql("group_by_label", f"SELECT jev_choice(o_orderstatus, 'which level?', {LIST}) AS label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {{orders}} GROUP BY ALL", f"WITH t AS (SELECT o_orderstatus, {_c('o_orderstatus', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT o_orderstatus FROM orders)) SELECT label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN t USING (o_orderstatus) GROUP BY label")
+_sql("avg_prob", "SELECT p_brand, count_if(jev_bool(p_type, 'is it metal?')) AS yes, round(avg(jev_prob(p_type, 'is it metal?')), 9) AS mean FROM {part} GROUP BY p_brand", f"WITH t AS (SELECT p_type, {_p('p_type', 'is it metal?')} AS p FROM (SELECT DISTINCT p_type FROM part)) SELECT p_brand, count_if(p >= 0.5)::BIGINT AS yes, round(avg(p), 9) AS mean FROM part JOIN t USING (p_type) GROUP BY p_brand")
+_sql("window_rank", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY jev_prob(s_name, 'q') DESC, s_suppkey) AS r FROM {supplier}", f"SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY {_p('s_name', 'q')} DESC, s_suppkey) AS r FROM supplier")
+_sql("join_judged", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey AND jev_bool(concat(n_name, '/', r_name), 'is it coastal?')", f"SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE {_p('(n_name || chr(47) || r_name)', 'is it coastal?')} >= 0.5")
+_sql("union_judged", "SELECT n_name AS name, jev_prob(n_name, 'q') AS p FROM {nation} UNION ALL SELECT r_name, jev_prob(r_name, 'q') FROM {region}", f"SELECT n_name AS name, {_p('n_name', 'q')} AS p FROM nation UNION ALL SELECT r_name, {_p('r_name', 'q')} FROM region")
+_sql("cte_case", "WITH t AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE s_name END AS state FROM {supplier}) SELECT s_suppkey, jev_prob(state, 'is it sound?') AS p FROM t", f"WITH t AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE s_name END AS state FROM supplier) SELECT s_suppkey, {_p('state', 'is it sound?')} AS p FROM t")
+_sql("bool_eq_prob", "SELECT event_id FROM {events} WHERE jev_bool(event_type, 'q') != (jev_prob(event_type, 'q') >= 0.5)", "SELECT event_id FROM events WHERE false")
+_sql("empty_input", "SELECT count(*) AS n FROM (SELECT jev_prob(o_orderstatus, 'q') AS p FROM {orders} WHERE 1 = 0) WHERE p > 0", "SELECT 0::BIGINT AS n")
+
+
+def _judged(spark: SparkSession, sf_dir: str, **conf: str) -> tuple[JudgmentSession, DataFrame]:
+    for k, v in {"executionMode": "optimized", **conf}.items():
+        spark.conf.set(f"spark.jev.{k.replace('_', '.')}", v)
+    return JudgmentSession(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def verb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three verbs over one table share their judgments."""
+    session, events = _judged(spark, sf_dir)
+    try:
+        state = F.col("event_type")
+        return session.judge(events.select("event_id", "event_type"), prob("p", state, F.lit("q")), yes("b", state, F.lit("q")), choice("label", state, F.lit("which level?"), F.array(*[F.lit(x) for x in LABELS]))).drop("event_type")
+    finally:
+        spark.conf.unset("spark.jev.executionMode")
+
+
+def distinct_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the profile counts for one judged column over events: valid rows, judgments, rows saved, requests in packs of 16."""
+    import json
+
+    session, events = _judged(spark, sf_dir, batch_enabled="true")
+    try:
+        session.judge(events.select("user_id"), prob("p", F.col("user_id").cast("string"), F.lit("q")))
+        c = json.loads(session.last_profile())["counts"]
+        return spark.createDataFrame([(c["input_rows"], c["valid_rows"], c["unique_judgments"], c["deduplicated_rows"], c["provider_invocations"])], "n long, valid long, judgments long, saved long, requests long")
+    finally:
+        spark.conf.unset("spark.jev.executionMode")
+        spark.conf.unset("spark.jev.batch.enabled")
+
+
+QUERIES |= {"verb_dedup": verb_dedup, "distinct_identity": distinct_identity}
+ORACLE_SQL["verb_dedup"] = f"WITH t AS (SELECT event_type, {_p('event_type', 'q')} AS p, {_c('event_type', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, p, p >= 0.5 AS b, label FROM events JOIN t USING (event_type)"
+ORACLE_SQL["distinct_identity"] = "SELECT count(*) AS n, count(*) AS valid, count(DISTINCT user_id) AS judgments, count(*) - count(DISTINCT user_id) AS saved, ceil(count(DISTINCT user_id) / 16.0)::BIGINT AS requests FROM events"
