@@ -228,20 +228,22 @@ def _link_group(num: int, den: int):
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """(uid, label) of each node of (u, v): the least node connected to it; by minima over neighbours and pointer jumping."""
-    both = work.write(edges.union(edges.select("v", "u")).distinct())
+    """(uid, label) of each node of (u, v), a table: the least node connected to it; by minima over neighbours and pointer
+    jumping, two rounds for each table written."""
+    both = edges.select("u", "v").union(edges.select("v", "u"))
     labels = work.write(both.groupBy(F.col("u").alias("uid")).agg(F.min("v").alias("near")).select("uid", F.least("uid", "near").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("uid", "v"), "v").groupBy(F.col("u").alias("uid")).agg(F.min("label").alias("near"))
-        moved = labels.withColumnRenamed("label", "was").join(near, "uid").select("uid", "was", F.least("was", "near").alias("to"))
-        jump = labels.select(F.col("uid").alias("to"), F.col("label").alias("root"))
-        following = work.write(moved.join(jump, "to").select("uid", F.least("to", "root").alias("label"), "was"))
+        now = labels.withColumn("was", F.col("label"))
+        for _ in range(2):
+            near = both.join(now.select(F.col("uid").alias("v"), "label"), "v").groupBy(F.col("u").alias("uid")).agg(F.min("label").alias("near"))
+            jump = now.select(F.col("uid").alias("to"), F.col("label").alias("root"))
+            now = now.join(near, "uid").select("uid", "was", F.least("label", "near").alias("to")).join(jump, "to").select("uid", F.least("to", "root").alias("label"), "was")
+        following = work.write(now)
         work.drop(labels)
         changed = not following.where("label != was").isEmpty()
         labels = following.select("uid", "label")
         labels.stored_at = following.stored_at
         if not changed:
-            work.drop(both)
             return labels
 
 
@@ -266,11 +268,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     tokens = once.select(F.explode("tokens").alias("token"), "uid", "slack")
     hot = hot_tokens(tokens, work)
     kept = prefix_tokens(tokens, hot, region, work)
-    work.drop(once)
-    sets = work.write_over(sets, sets.drop("tokens", "slack"))
     labels = search(docs, reps, kept, width, num, den, doc_id, body, work)
     own = reps.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    heads = work.write(own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("head")).select("label", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head")))
+    heads = (own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("head")).select("label", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head")))
     named = work.write(own.join(heads, "label").select("a", "b", "n", "component_id", "head"))
     work.drop_all_but(named, sets)
     # A hot set's rows meet a single row here, read from a table: adaptive execution can split them.
@@ -308,7 +308,7 @@ def prefix_tokens(tokens: DataFrame, hot: DataFrame, region: int, work: Workspac
     shared = shared.select("uid", "slack", F.struct(F.when(inside, F.col("freq")).otherwise(F.lit(1 << 60)).alias("freq"), "token").alias("t"))
     lists = shared.groupBy("uid", "slack").agg(F.sort_array(F.collect_list("t")).alias("ts"))  # at most a document's own
     keep = F.when(F.col("slack") > 0, F.size("ts")).otherwise(F.greatest(F.lit(0), F.size("ts") + F.col("slack")))
-    return work.write(lists.withColumn("ts", F.slice("ts", F.lit(1), keep)).where("size(ts) > 0").select("uid", F.explode("ts.token").alias("token")))
+    return lists.withColumn("ts", F.slice("ts", F.lit(1), keep)).where("size(ts) > 0").select("uid", F.explode("ts.token").alias("token"))
 
 
 def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: int, den: int, doc_id: str, body, work: Workspace) -> DataFrame:
@@ -319,10 +319,9 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     kept = kept.join(reps.select("uid", "n"), "uid").select("uid", "token", F.explode(F.array(at, at + 1)).alias("class"))
     kept = work.write(kept.select(F.xxhash64("token", "class").alias("token"), (F.col("uid") * 2 + F.pmod("class", F.lit(2))).alias("node")))
     sizes = kept.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-    groups = work.write(kept.join(sizes, "token"))
-    work.drop(kept)
+    groups = kept.join(sizes, "token")
     # Families: what shared shingles connect.  Links are inside families only, and most families are small.
-    family = components(groups.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")), work)
+    family = components(work.write(groups.where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))), work)
     family = family.select(F.col("uid").alias("node"), F.expr("shiftright(uid, 1)").alias("uid"), F.col("label").alias("family"))
     members = work.write(family.join(reps, "uid"))
     wanted = members.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
@@ -333,13 +332,13 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     whole = texts.mapInArrow(_whole_sets(width), "a long, b long, n int, items array<long>")
     whole = work.write(whole.join(members.select("a", "b", "n", "uid").distinct(), ["a", "b", "n"]).select("uid", "n", "items").dropDuplicates(["uid"]))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    sized = work.write(members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), blocks))
+    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), blocks)
     placed = members.select("family", "uid").join(sized, "family")
     # A large family is searched in blocks that share a few random sets: enough to connect them if it is one component.
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("uid"), F.col("size")) < PIVOTS)
     own = F.expr("cast(pmod(xxhash64(uid, 0), blocks) as int)")
     placed = placed.select("family", "uid", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))).alias("block"))
-    edges = work.write(placed.join(whole, "uid").groupBy("family", "block").applyInPandas(_link_group(num, den), "u long, v long").distinct())
+    edges = work.write(placed.join(whole, "uid").groupBy("family", "block").applyInPandas(_link_group(num, den), "u long, v long"))
     labels = components(edges, work)
     large = sized.where("blocks > 1").select("family")
     if large.isEmpty():
@@ -349,7 +348,6 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     ours = groups.select("token", "node", "size").join(members.select("node", "uid", "family", "n"), "node").drop("node").join(large, "family", "left_semi").join(labels, "uid", "left")
     ours = work.write(ours.withColumn("label", F.coalesce("label", "uid")))
     dense = ours.groupBy("family").agg(F.sum("size").alias("pairs")).join(sized.where("blocks > 1"), "family").where("pairs >= size * size").select("family")
-    dense = work.write(dense)
     rest = ours.join(dense, "family", "left_anti").select(F.lit(False).alias("whole"), F.col("token").alias("grp"), "uid", "n", "label")
     rest = work.write(rest.unionByName(ours.join(dense, "family").select(F.lit(True).alias("whole"), F.col("family").alias("grp"), "uid", "n", "label").distinct()))
     main = rest.groupBy("whole", "grp", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
@@ -363,7 +361,7 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     at_home = rest.select("whole", "grp", "uid", F.lit(False).alias("visiting"), "block", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out"))
     guests = rest.where("label != main").select("whole", "grp", "uid", F.lit(True).alias("visiting"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "out")
     more = at_home.unionByName(guests).join(whole, "uid").groupBy("whole", "grp", "block", "out").applyInPandas(_link_group(num, den), "u long, v long")
-    return components(edges.union(work.write(more.distinct())), work)
+    return components(edges.union(work.write(more)), work)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
