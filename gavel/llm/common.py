@@ -42,6 +42,12 @@ class Workspace:
         self.live.add(path)
         return back
 
+    def write_over(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Writes a smaller version of a table and drops the old one."""
+        back = self.write(new)
+        self.drop(old)
+        return back
+
     def drop_all_but(self, *tables: DataFrame) -> None:
         keep = {t.stored_at for t in tables}
         for path in self.live - keep:
