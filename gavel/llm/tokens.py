@@ -3,7 +3,8 @@
 The vocabulary's pre-tokenizer never joins what white space divides, and drops white space.  So each batch of whole texts is
 cut at white space into pre-tokens, the batch's distinct ones are encoded once by the public library, and their piece
 counts, joined to each document's pre-token frequencies by the pre-token's code, are summed.  Ids of documents never exist.
-A task remembers the counts of up to ``REMEMBERED`` pre-tokens between batches.
+A task remembers the counts of up to ``REMEMBERED`` pre-tokens, of ``REMEMBERED_CHARS`` characters in all, between documents: scripts
+without white space make pre-tokens of whole paragraphs.  A single document's own may exceed this while it is counted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-REMEMBERED, LIMIT = 400_000, 2048
+REMEMBERED, REMEMBERED_CHARS, LIMIT = 400_000, 1 << 24, 2048
 #: Unicode's White_Space, by which the vocabulary's normalizer and pattern divide; Python's str.split() takes four more.
 WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -36,6 +37,7 @@ def _counter(path: str, limit: int):
         tok.no_padding()
         tok.no_truncation()
         known: dict[str, int] = {}
+        chars = 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n_bytes, n_tokens = [], []
@@ -45,9 +47,10 @@ def _counter(path: str, limit: int):
                     counts = sum(map(known.__getitem__, words))
                 except KeyError:
                     new = [w for w in dict.fromkeys(words) if w not in known]
-                    if len(known) + len(new) > REMEMBERED:
+                    if len(known) + len(new) > REMEMBERED or chars + sum(map(len, new)) > REMEMBERED_CHARS:
                         known.clear()
-                        new = list(dict.fromkeys(words))
+                        chars, new = 0, list(dict.fromkeys(words))
+                    chars += sum(map(len, new))
                     known.update(zip(new, (len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
                     counts = sum(map(known.__getitem__, words))
                 n_tokens.append(counts)

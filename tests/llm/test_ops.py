@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -314,6 +315,19 @@ def test_tokens(spark, docs, nothing):
     assert tokens.count_tokens(nothing, path).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"REMEMBERED": 3}, {"REMEMBERED_CHARS": 20}])
+def test_tokens_forgets(monkeypatch, limits):
+    """Counts don't depend on what a task remembers."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    for name, value in limits.items():
+        monkeypatch.setattr(tokens, name, value)
+    texts = ["one two three four five", "two " + "six" * 40, "", "漢字" * 30, "one two", "six" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    (out,) = tokens._counter(path, 2048)(iter([batch]))
+    assert out.column("n_tokens").to_pylist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "bin_id"} <= set(out.columns)
