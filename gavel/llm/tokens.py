@@ -9,6 +9,7 @@ without white space make pre-tokens of whole paragraphs.  A single document's ow
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ def _counter(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would take those of others
         tok = Tokenizer.from_file(path)
         tok.no_padding()
         tok.no_truncation()
