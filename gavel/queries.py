@@ -6,6 +6,10 @@ the kind, the question and the choices.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +51,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _sql(name: str, spark_sql: str, oracle: str | None = None) -> None:
+def _sql(name: str, spark_sql: str, oracle: str | None = None, args: dict | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark)
         frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in spark_sql}
-        return spark.sql(spark_sql, **frames)
+        return spark.sql(spark_sql, args=args, **frames)
 
     QUERIES[name] = run
     if oracle:
@@ -69,7 +73,7 @@ _sql("prob_struct", f"SELECT l_orderkey, l_linenumber, jev_prob({_LINE}, 'is it
 _sql("choice_struct", f"SELECT l_linenumber, jev_choice({_LINE}, 'which level?', {LIST}) AS label, count(*) AS n FROM {{lineitem}} GROUP BY ALL", f"WITH t AS (SELECT *, {_c(_STATE, 'which level?', LABELS)} AS label FROM {_DISTINCT}) SELECT l_linenumber, label, count(*) AS n FROM lineitem JOIN t USING (l_quantity, l_discount, l_linenumber) GROUP BY ALL")
 _sql("prob_struct_null", "SELECT p_partkey, jev_prob(named_struct('size', nullif(p_size, 7), 'brand', p_brand), 'is it big?') AS p FROM {part}", f"""SELECT p_partkey, {_p(_struct(brand="'{\"t\":\"text\",\"v\":\"' || p_brand || '\"}'", size="CASE WHEN p_size = 7 THEN '{\"t\":\"null\"}' ELSE " + _int('p_size') + " END"), 'is it big?')} AS p FROM part""")
 _sql("nulls", "SELECT c_custkey, jev_prob(nullif(c_mktsegment, 'BUILDING'), 'q') AS a, jev_bool(c_name, cast(NULL AS string)) AS b, jev_choice(c_name, 'q', cast(NULL AS array<string>)) AS c FROM {customer}", f"WITH t AS (SELECT c_mktsegment, {_p('c_mktsegment', 'q')} AS p FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, CASE WHEN c_mktsegment != 'BUILDING' THEN p END AS a, NULL::BOOLEAN AS b, NULL::VARCHAR AS c FROM customer JOIN t USING (c_mktsegment)")
-_sql("prefilter", "SELECT o_orderkey, jev_prob(o_orderpriority, 'is it urgent?') AS p FROM {orders} WHERE o_orderkey % 2 = 0 AND jev_prob(o_orderpriority, 'is it urgent?') >= 0.2", f"WITH t AS (SELECT o_orderpriority, {_p('o_orderpriority', 'is it urgent?')} AS p FROM (SELECT DISTINCT o_orderpriority FROM orders)) SELECT o_orderkey, p FROM orders JOIN t USING (o_orderpriority) WHERE o_orderkey % 2 = 0 AND p >= 0.2")
+_sql("prefilter", "SELECT o_orderkey, jev_prob(o_orderpriority, 'is it urgent?') AS p FROM {orders} WHERE o_totalprice > 100000 AND jev_prob(o_orderpriority, 'is it urgent?') >= 0.2", f"WITH t AS (SELECT o_orderpriority, {_p('o_orderpriority', 'is it urgent?')} AS p FROM (SELECT DISTINCT o_orderpriority FROM orders)) SELECT o_orderkey, p FROM orders JOIN t USING (o_orderpriority) WHERE o_totalprice > 100000 AND p >= 0.2")
 _sql("topk", "SELECT s_suppkey, jev_prob(s_name, 'is it reliable?') AS p FROM {supplier} ORDER BY p DESC, s_suppkey LIMIT 10", f"SELECT s_suppkey, {_p('s_name', 'is it reliable?')} AS p FROM supplier ORDER BY p DESC, s_suppkey LIMIT 10")
 _sql("group_by_label", f"SELECT jev_choice(o_orderstatus, 'which level?', {LIST}) AS label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {{orders}} GROUP BY ALL", f"WITH t AS (SELECT o_orderstatus, {_c('o_orderstatus', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT o_orderstatus FROM orders)) SELECT label, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN t USING (o_orderstatus) GROUP BY label")
 _sql("avg_prob", "SELECT p_brand, count_if(jev_bool(p_type, 'is it metal?')) AS yes, round(avg(jev_prob(p_type, 'is it metal?')), 9) AS mean FROM {part} GROUP BY p_brand", f"WITH t AS (SELECT p_type, {_p('p_type', 'is it metal?')} AS p FROM (SELECT DISTINCT p_type FROM part)) SELECT p_brand, count_if(p >= 0.5)::BIGINT AS yes, round(avg(p), 9) AS mean FROM part JOIN t USING (p_type) GROUP BY p_brand")
@@ -79,38 +83,74 @@ _sql("union_judged", "SELECT n_name AS name, jev_prob(n_name, 'q') AS p FROM {na
 _sql("cte_case", "WITH t AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE s_name END AS state FROM {supplier}) SELECT s_suppkey, jev_prob(state, 'is it sound?') AS p FROM t", f"WITH t AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE s_name END AS state FROM supplier) SELECT s_suppkey, {_p('state', 'is it sound?')} AS p FROM t")
 _sql("bool_eq_prob", "SELECT event_id FROM {events} WHERE jev_bool(event_type, 'q') != (jev_prob(event_type, 'q') >= 0.5)", "SELECT event_id FROM events WHERE false")
 _sql("empty_input", "SELECT count(*) AS n FROM (SELECT jev_prob(o_orderstatus, 'q') AS p FROM {orders} WHERE 1 = 0) WHERE p > 0", "SELECT 0::BIGINT AS n")
+_sql("bound_parameters", "SELECT s_suppkey, jev_prob(s_name, :question) AS p FROM {supplier} WHERE jev_prob(s_name, :question) >= :least", f"SELECT s_suppkey, {_p('s_name', 'is it reliable?')} AS p FROM supplier WHERE {_p('s_name', 'is it reliable?')} >= 0.4", {"question": "is it reliable?", "least": 0.4})
+
+
+@contextmanager
+def _session(spark: SparkSession, **conf: str) -> Iterator[JudgmentSession]:
+    """A session in optimized mode; its settings end with it."""
+    conf = {f"spark.jev.{k.replace('_', '.')}": v for k, v in {"executionMode": "optimized", **conf}.items()}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield JudgmentSession(spark)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def _judged(spark: SparkSession, sf_dir: str, **conf: str) -> tuple[JudgmentSession, DataFrame]:
-    for k, v in {"executionMode": "optimized", **conf}.items():
-        spark.conf.set(f"spark.jev.{k.replace('_', '.')}", v)
-    return JudgmentSession(spark), spark.read.parquet(f"{sf_dir}/events.parquet")
+
+def _counts(session: JudgmentSession, **names: str) -> DataFrame:
+    """One row: the last profile's counts under the given column names."""
+    counts = json.loads(session.last_profile())["counts"]
+    return session.spark.range(1).select(*[F.lit(counts[count]).cast("long").alias(name) for name, count in names.items()])
 
 
 def verb_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three verbs over one table share their judgments."""
-    session, events = _judged(spark, sf_dir)
-    try:
-        state = F.col("event_type")
-        return session.judge(events.select("event_id", "event_type"), prob("p", state, F.lit("q")), yes("b", state, F.lit("q")), choice("label", state, F.lit("which level?"), F.array(*[F.lit(x) for x in LABELS]))).drop("event_type")
-    finally:
-        spark.conf.unset("spark.jev.executionMode")
+    state, levels = F.col("event_type"), F.array(*[F.lit(x) for x in LABELS])
+    with _session(spark) as session:
+        events = _table(spark, sf_dir, "events").select("event_id", "event_type")
+        return session.judge(events, prob("p", state, F.lit("q")), yes("b", state, F.lit("q")), choice("label", state, F.lit("which level?"), levels)).drop("event_type")
 
 
 def distinct_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the profile counts for one judged column over events: valid rows, judgments, rows saved, requests in packs of 16."""
-    import json
+    with _session(spark, batch_enabled="true") as session:
+        session.judge(_table(spark, sf_dir, "events").select("user_id"), prob("p", F.col("user_id").cast("string"), F.lit("q")))
+        return _counts(session, n="input_rows", valid="valid_rows", judgments="unique_judgments", saved="deduplicated_rows", requests="provider_invocations")
 
-    session, events = _judged(spark, sf_dir, batch_enabled="true")
-    try:
-        session.judge(events.select("user_id"), prob("p", F.col("user_id").cast("string"), F.lit("q")))
-        c = json.loads(session.last_profile())["counts"]
-        return spark.createDataFrame([(c["input_rows"], c["valid_rows"], c["unique_judgments"], c["deduplicated_rows"], c["provider_invocations"])], "n long, valid long, judgments long, saved long, requests long")
-    finally:
-        spark.conf.unset("spark.jev.executionMode")
-        spark.conf.unset("spark.jev.batch.enabled")
+
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests are packed for each question: two questions over one column never share a request."""
+    state = F.col("s_name")
+    with _session(spark, batch_enabled="true") as session:
+        session.judge(_table(spark, sf_dir, "supplier").select("s_name"), prob("p", state, F.lit("q")), yes("b", state, F.lit("r")))
+        return _counts(session, judgments="unique_judgments", requests="provider_invocations")
+
+
+def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null states are counted as rows but never judged."""
+    with _session(spark) as session:
+        session.judge(_table(spark, sf_dir, "customer").select("c_mktsegment"), prob("p", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("q")))
+        return _counts(session, n="input_rows", absent="null_rows", valid="valid_rows", judgments="unique_judgments", saved="deduplicated_rows", failed="failed_requests")
+
+
+def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second query is answered by the cache; clearing it returns how many answers it held."""
+    with _session(spark, cache_enabled="true") as session:
+        for _ in range(2):
+            session.judge(_table(spark, sf_dir, "customer").select("c_mktsegment"), prob("p", F.col("c_mktsegment"), F.lit("q")))
+        counts = _counts(session, hits="cache_hits", misses="cache_misses", requests="provider_invocations")
+        return counts.withColumn("cleared", F.lit(session.cache_clear()).cast("long"))
 
 
-QUERIES |= {"verb_dedup": verb_dedup, "distinct_identity": distinct_identity}
+QUERIES |= {"verb_dedup": verb_dedup, "distinct_identity": distinct_identity, "batch_plan": batch_plan, "profile_counts": profile_counts, "cache_reuse": cache_reuse}
 ORACLE_SQL["verb_dedup"] = f"WITH t AS (SELECT event_type, {_p('event_type', 'q')} AS p, {_c('event_type', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, p, p >= 0.5 AS b, label FROM events JOIN t USING (event_type)"
 ORACLE_SQL["distinct_identity"] = "SELECT count(*) AS n, count(*) AS valid, count(DISTINCT user_id) AS judgments, count(*) - count(DISTINCT user_id) AS saved, ceil(count(DISTINCT user_id) / 16.0)::BIGINT AS requests FROM events"
+ORACLE_SQL["batch_plan"] = "SELECT 2 * count(DISTINCT s_name) AS judgments, 2 * ceil(count(DISTINCT s_name) / 16.0)::BIGINT AS requests FROM supplier"
+ORACLE_SQL["profile_counts"] = "SELECT count(*) AS n, count_if(c_mktsegment = 'BUILDING')::BIGINT AS absent, count_if(c_mktsegment != 'BUILDING')::BIGINT AS valid, count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS judgments, count_if(c_mktsegment != 'BUILDING')::BIGINT - count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS saved, 0::BIGINT AS failed FROM customer"
+ORACLE_SQL["cache_reuse"] = "SELECT count(DISTINCT c_mktsegment) AS hits, 0::BIGINT AS misses, 0::BIGINT AS requests, count(DISTINCT c_mktsegment) AS cleared FROM customer"
