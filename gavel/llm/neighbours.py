@@ -4,11 +4,15 @@ Fit (driver, numpy, a bounded sample of ``SAMPLE`` rows): coarse centroids by k-
 subspace of the residuals; then the number of cells to probe: the fewest that hold ``COVER`` of the true neighbours of a few
 of the sample's rows within the sample, so that it follows how clustered the vectors are.  Index (every row): the nearest centroid's cell, the residual's codes, the vector itself.
 Search: a query visits its best cells; there, asymmetric distance tables (query against codewords) rank all
-codes, and the best ``rerank`` of each block are scored exactly in double precision; blocks' best are merged per query.
+codes, and the best ``rerank`` of each block, with all that tie with the last, are scored exactly in double precision; blocks'
+best are merged per query.
 
-Skew: cells are cut into blocks of at most about ``CELL_ROWS`` rows and their visitors into blocks of ``VISITORS``; of equal
-vectors within a batch only the k + 1 smallest ids can ever be among the nearest, so the others are indexed as shadows
-that no search reads.  Vectors null, zero, of another dimension than most, or holding null or non-finite components take no part.
+Equal vectors are one row of the index, with their k + 1 smallest distinct ids: no others can be among the k nearest (one
+may be the query's own).  So copies, however many and wherever they lie, take one place of the rerank and tie by id.
+
+Skew: cells are cut into blocks of at most about ``CELL_ROWS`` rows and their visitors into blocks of ``VISITORS``; copies are
+thinned in each batch before they meet in one task.  Vectors null, zero, of another dimension than most, or holding null or
+non-finite components take no part.
 """
 
 from __future__ import annotations
@@ -85,21 +89,32 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _indexer(model, keep: int):
+def _thinner(dim: int, keep: int):
+    """Each distinct vector of a batch, as bytes, with its ``keep`` smallest distinct ids; a negative zero counts as zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, ids = np.ascontiguousarray(_matrix(batch.column(1), dim) + 0.0), batch.column(0).to_numpy()
+            _, first, same = np.unique(x.view([("", np.void, dim * 8)]).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([same.ravel(), ids], 1), axis=0)  # sorted by vector, then id
+            start = np.searchsorted(pairs[:, 0], np.arange(len(first)))
+            pairs = pairs[np.arange(len(pairs)) - start[pairs[:, 0]] < keep]
+            offsets = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs[:, 1])), pa.array([v.tobytes() for v in x[first]], pa.binary())], names=["vec_ids", "vector"])
+
+    return run
+
+
+def _indexer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids = _matrix(batch.column(1), m.dim), batch.column(0).to_numpy()
-            cell, codes = m.encode(x)
-            raw = np.ascontiguousarray(x + 0.0).view([("", np.void, x.shape[1] * 8)]).ravel()
-            _, same = np.unique(raw, return_inverse=True)
-            order = np.lexsort((ids, same))
-            run_start = np.flatnonzero(np.diff(np.concatenate(([-1], same[order]))))
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.arange(len(ids)) - np.repeat(run_start, np.diff(np.append(run_start, len(ids))))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(rank >= keep)], names=["cell", "vec_id", "vector", "code", "shadow"])
+            cell, codes = m.encode(np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, m.dim))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cell", "vec_ids", "vector", "code"])
 
     return run
 
@@ -125,28 +140,31 @@ def _searcher(model, k: int, rerank: int):
         if not len(queries) or not len(rows):
             return empty
         m = model.value
-        order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")  # so that ties go to smaller ids
-        ids = rows["vec_id"].to_numpy()[order]
-        x = np.stack(rows["vector"].to_numpy()[order]).astype(np.float64)
-        codes = np.frombuffer(b"".join(rows["code"].to_numpy()[order]), np.uint8).reshape(len(ids), m.m)
+        count = rows["vec_ids"].map(len).to_numpy()
+        ids, start = np.concatenate(rows["vec_ids"].to_numpy()), np.cumsum(count) - count
+        alone = np.where(count == 1, ids[start], -1)
+        x = np.frombuffer(b"".join(rows["vector"])).reshape(len(rows), m.dim)
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), m.m)
         q_ids, q = queries["query_id"].to_numpy(), np.stack(queries["query"].to_numpy()).astype(np.float64)
         centre = m.centres[int(rows["cell"].iloc[0])]
         out = []
         for i in range(0, len(q), 64):
             part = q[i : i + 64]
-            approx = np.repeat((part @ centre)[:, None], len(ids), 1).astype(np.float32)
+            approx = np.repeat((part @ centre)[:, None], len(x), 1).astype(np.float32)
             for s, (piece, words) in enumerate(zip(m.split(part), m.words)):
                 approx += (piece @ words.T).astype(np.float32)[:, codes[:, s]]  # the asymmetric distance table of a subspace
-            approx[q_ids[i : i + 64, None] == ids[None, :]] = -np.inf
-            r = min(rerank, len(ids))
-            best = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(ids) else np.broadcast_to(np.arange(len(ids)), approx.shape)
-            exact = np.einsum("qd,qrd->qr", part, x[best])
-            exact[q_ids[i : i + 64, None] == ids[best]] = -np.inf
+            approx[(q_ids[i : i + 64, None] == alone[None, :]) & (count == 1)] = -np.inf
+            r = min(rerank, len(x))
+            cut = np.partition(approx, len(x) - r, axis=1)[:, len(x) - r]
             for j in range(len(part)):
-                top = best[j][np.lexsort((ids[best[j]], -exact[j]))[:k]]
-                score = exact[j][np.lexsort((ids[best[j]], -exact[j]))[:k]]
-                fit = score > -np.inf
-                out.append((np.full(fit.sum(), q_ids[i + j]), ids[top[fit]], score[fit]))
+                best = np.flatnonzero(approx[j] >= cut[j])  # with all that tie at the cut
+                n = count[best]
+                near = ids[np.repeat(start[best] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                score = np.repeat(np.einsum("rd,d->r", x[best], part[j]), n)
+                other = near != q_ids[i + j]
+                near, score = near[other], score[other]
+                top = np.lexsort((near, -score))[:k]
+                out.append((np.full(len(top), q_ids[i + j]), near[top], score[top]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
     return run
@@ -173,16 +191,18 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, vec_id: str =
     model = Model(_matrix(sample.column(0).combine_chunks(), dim), cells)
     probes = probes or model.probes
     model = spark.sparkContext.broadcast(model)  # MAX_CELLS centroids, CODEWORDS codewords
-    index = work.write(rows.mapInArrow(_indexer(model, k + 1), "cell int, vec_id long, vector array<double>, code binary, shadow boolean")).where("not shadow")
+    distinct = rows.mapInArrow(_thinner(dim, k + 1), "vec_ids array<long>, vector binary").groupBy("vector").agg(F.collect_list("vec_ids").alias("vec_ids"))
+    distinct = distinct.select(F.expr(f"slice(array_sort(array_distinct(flatten(vec_ids))), 1, {k + 1})").alias("vec_ids"), "vector")
+    index = work.write(distinct.mapInArrow(_indexer(model), "cell int, vec_ids array<long>, vector binary, code binary"))
     queries = rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "vector"])
     visits = work.write(queries.mapInArrow(_visitor(model, probes), "cell int, query_id long, query array<double>"))
     # Blocks of each cell and of its visitors: at most MAX_CELLS rows.
     counts = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")), "cell")
     counts = F.broadcast(counts.select("cell", F.expr(f"cast(ceil(n / {CELL_ROWS}) as int)").alias("row_blocks"), F.expr(f"cast(ceil(v / {VISITORS}) as int)").alias("visit_blocks")))
     left = visits.join(counts, "cell").withColumn("vb", F.expr("cast(pmod(xxhash64(query_id), visit_blocks) as int)")).withColumn("rb", F.explode(F.expr("sequence(0, row_blocks - 1)")))
-    right = index.join(counts, "cell").withColumn("rb", F.expr("cast(pmod(xxhash64(vec_id), row_blocks) as int)")).withColumn("vb", F.explode(F.expr("sequence(0, visit_blocks - 1)")))
+    right = index.join(counts, "cell").withColumn("rb", F.expr("cast(pmod(xxhash64(vector), row_blocks) as int)")).withColumn("vb", F.explode(F.expr("sequence(0, visit_blocks - 1)")))
     keys = ["cell", "rb", "vb"]
-    found = left.select(*keys, "query_id", "query").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "vector", "code").groupBy(*keys)).applyInPandas(_searcher(model, k, rerank), "query_id long, vec_id long, score double")
+    found = left.select(*keys, "query_id", "query").groupBy(*keys).cogroup(right.select(*keys, "vec_ids", "vector", "code").groupBy(*keys)).applyInPandas(_searcher(model, k, rerank), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

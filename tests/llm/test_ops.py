@@ -270,6 +270,39 @@ def test_neighbours(spark):
     assert few.count() == 2 and neighbours.nearest_neighbours(df.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+def brute_nearest(rows, queries, k):
+    """{query: [(id, score)]} of (id, vector) rows: each id once, by its best score, ties by id."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = {}
+    for q in queries:
+        best = {}
+        for v in x[ids == q]:
+            for i, s in zip(ids, x @ v):
+                if i != q:
+                    best[i] = max(s, best.get(i, -np.inf))
+        out[q] = sorted(best, key=lambda i: (-round(best[i], 9), i))[:k]
+    return out
+
+
+def found_nearest(df, is_query, **options):
+    out = defaultdict(list)
+    for r in neighbours.nearest_neighbours(df, is_query, **options).orderBy("query_id", "rank").collect():
+        out[r.query_id].append(r.vec_id)
+    return out
+
+
+def test_neighbours_smallest_ids_of_copies(spark):
+    """1500 copies in 75 partitions, more than the rerank keeps: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 12))
+    x[500:] = x[500]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(2000), x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(75)
+    asked = {rows[i][0] for i in (500, 900, 1999)} | {rows[int(np.argsort(-(x[:500] @ x[500]))[0])][0]}
+    got = found_nearest(df, lambda i: i.isin(*asked), k=20, cell_rows=4000)
+    assert got == brute_nearest(rows, asked, 20)
+
+
 def test_packing(docs, pairs, nothing):
     rows = packing.best_fit(docs, capacity=100, group_rows=40).collect()
     bins = defaultdict(list)
