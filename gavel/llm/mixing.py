@@ -51,10 +51,25 @@ def targets(sizes: DataFrame, factor: float, weights: tuple[int, ...], most: flo
     return ranked.select("source", "rank", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("free.level") * F.col("weight")).cast("double").alias("target"))
 
 
+def rounded(taken: DataFrame, seed: int) -> DataFrame:
+    """With ``copies``: taken / size, rounded up or down so that its mean is the quotient itself.
+
+    The fractions of a bucket are laid end to end by size from a pseudorandom start below 1; a document that reaches a whole
+    number is rounded up.  So a bucket's words differ from what was taken by less than two of its largest document.
+    """
+    before = Window.partitionBy("rank", "bucket").orderBy("size", "rn").rowsBetween(Window.unboundedPreceding, -1)
+    fraction = F.expr("(taken % size) / cast(size as double)")
+    laid = taken.withColumn("before", F.coalesce(F.sum(fraction).over(before), F.lit(0.0)))
+    start = F.expr(f"pmod(xxhash64({seed}, 'copies', rank, bucket), 1048576) / 1048576D")
+    up = F.floor(F.col("before") + fraction + start) - F.floor(F.col("before") + start)
+    return laid.withColumn("copies", (F.expr("taken div size") + up).cast("int"))
+
+
 def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: int = 7, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with what the mix takes of each, output slots).
 
-    Documents: doc_id, size, source, source_size, target, taken; with ``carry`` the whole row too, as struct ``row``.
+    Documents: doc_id, size, source, source_size, target, taken; with ``carry`` the whole row too, as struct ``row``, and
+    ``copies``, how often it stands in the mix if only whole documents may; rows without copies are left out then.
     Slots: shard, slot, source, bucket, block: which block stands where in the mix.  Null texts and texts without words have
     size 0 and are never taken; a null source is a source; repeated rows count as rows of their own.
     """
@@ -97,8 +112,8 @@ def mix(docs: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2,
     taken = touched.select("rank", "bucket", "rn", (F.col("first") + F.col("b")).alias("index"), overlap.alias("part")).join(times, ["rank", "index"]).groupBy("rank", "bucket", "rn").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = laid.join(taken, ["rank", "bucket", "rn"], "left")
     if carry:  # whole rows move once, and only those that the mix takes
-        out = whole.select("uid", "row").join(out.where("taken > 0"), "uid")
-    out = out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
+        out = whole.select("uid", "row").join(rounded(out.where("taken > 0"), seed).where("copies > 0"), "uid")
+    out = out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["row", "copies"] if carry else []))
     return out, slots.join(quota.select("rank", "source"), "rank")
 
 
@@ -107,7 +122,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as often as the mix takes them: its words over the document's, rounded."""
+    """The documents as often as the mix takes them: its words over the document's, rounded without bias."""
     out, _ = mix(docs, carry=True, **options)
-    copies = F.expr("cast(floor(taken / size + 0.5) as int)")
-    return out.where("size > 0").withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.expr("cast(array() as array<int>)")))).select("row.*")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

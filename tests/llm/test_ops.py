@@ -151,6 +151,15 @@ def test_mixing(docs, pairs, nothing):
     assert mixing.mix(nothing)[0].count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_words_meet_targets(spark):
+    """Documents of many blocks: whole copies bring each source's words near its target, whatever the ratio."""
+    docs = spark.range(1200).selectExpr("id as doc_id", "repeat('w ', cast(640 + id * 7919 % 1500 as int)) as text", "concat('s', id % 3) as source")
+    want = {r.source: (r.source_size, r.target) for r in mixing.mix(docs, factor=0.6)[0].select("source", "source_size", "target").distinct().collect()}
+    got = dict(mixing.mixed_documents(docs, factor=0.6).groupBy("source").agg(F.sum(mixing.word_count(F.col("text")))).collect())
+    assert sorted(t / n for n, t in want.values()) == pytest.approx([0.225, 0.45, 1.125], abs=0.01)
+    assert all(abs(got[s] - t) <= 0.03 * t for s, (_, t) in want.items())
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted("id", f"{n}L", "3")).collect()]
