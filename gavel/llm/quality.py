@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import WordHasher, table
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 12, 4.0
-#: Bounds of the training sample; whole texts only.
-MAX_ROWS, MAX_BYTES = 4000, 12 << 20
+#: Bounds of the training sample; whole texts only, none longer than ``1 / SHARE`` of the bytes.
+MAX_ROWS, MAX_BYTES, SHARE = 4000, 12 << 20, 32
 FOLDS, THRESHOLD = 5, 0.3
 #: Feature buckets of marks: a word that equals the one before it, or the one before that.
 MARKS = 2
@@ -111,7 +111,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     """Learns from the first ``max_rows`` labelled rows in the order of a hash of doc_id, as far as ``max_bytes`` of text go.
 
-    Rows of the held-out fold, null doc_ids, labels other than 0 and 1 and ids with contradicting labels are left out.
+    Rows of the held-out fold, null doc_ids, labels other than 0 and 1 and ids with contradicting labels are left out, and so
+    are texts longer than ``max_bytes`` / ``SHARE``: the others go on.  If the bytes leave no row of a label, that is an error.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).where("_y = _top").select("_id", "_y")
@@ -121,9 +122,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.orderBy(F.xxhash64("_id"), "_id", F.length("_body")).limit(max_rows)
     from pyspark.sql import Window
 
-    rows = rows.withColumn("_sum", F.sum(F.length("_body")).over(Window.orderBy(F.xxhash64("_id"), "_id", F.length("_body")).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= max_bytes)
-    got = rows.select("_body", "_y").toArrow()
-    return train([x.as_py() for x in got.column(0)], got.column(1).to_pylist())
+    own = F.when(F.length("_body") <= max_bytes // SHARE, F.length("_body"))
+    rows = rows.withColumn("_sum", F.sum(own).over(Window.orderBy(F.xxhash64("_id"), "_id", F.length("_body")).rowsBetween(Window.unboundedPreceding, 0)))
+    got = rows.select(F.when(own.isNotNull() & (F.col("_sum") <= max_bytes), F.col("_body")).alias("_body"), "_y").toArrow()
+    sample = [(x.as_py(), y) for x, y in zip(got.column(0), got.column(1).to_pylist()) if x.is_valid]
+    lost = set(got.column(1).to_pylist()) - {y for _, y in sample}
+    if lost:
+        raise ValueError(f"no text of label {min(lost)} fits the training sample: {max_bytes} bytes in all, {max_bytes // SHARE} for one text")
+    return train([x for x, _ in sample], [y for _, y in sample])
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:

@@ -121,6 +121,17 @@ def test_quality(spark, docs, nothing):
     assert quality.keep_good(docs, labels.where("false")).columns == docs.columns and quality.keep_good(nothing, labels).count() == 0
 
 
+def test_quality_goes_on_after_a_long_text(spark):
+    rows = [(i, "plain words stand here" if i % 2 else "### @@ ### @@", i % 2) for i in range(200)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    first = known.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = known.withColumn("text", F.when(F.col("doc_id") == first, F.repeat("text", F.lit(10_000))).otherwise(F.col("text")))
+    kept = quality.classify(long, quality.fit(long, long, max_bytes=20_000)).where("score >= 0.5").select("row.doc_id").collect()
+    assert {r[0] for r in kept} - {first} == {i for i in range(1, 200, 2)} - {first}
+    with pytest.raises(ValueError, match="label 0"):
+        quality.fit(known.withColumn("text", F.when(F.expr("quality = 0"), F.repeat("text", F.lit(10_000))).otherwise(F.col("text"))), known, max_bytes=20_000)
+
+
 def test_mixing(docs, pairs, nothing):
     out, slots = mixing.mix(docs, block=16)
     rows = out.collect()
