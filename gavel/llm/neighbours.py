@@ -143,6 +143,7 @@ def _searcher(model, k: int, rerank: int):
         count = rows["vec_ids"].map(len).to_numpy()
         ids, start = np.concatenate(rows["vec_ids"].to_numpy()), np.cumsum(count) - count
         alone = np.where(count == 1, ids[start], -1)
+        most = int(np.unique(ids, return_counts=True)[1].max())  # vectors of one id
         x = np.frombuffer(b"".join(rows["vector"])).reshape(len(rows), m.dim)
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), m.m)
         q_ids, q = queries["query_id"].to_numpy(), np.stack(queries["query"].to_numpy()).astype(np.float64)
@@ -154,7 +155,7 @@ def _searcher(model, k: int, rerank: int):
             for s, (piece, words) in enumerate(zip(m.split(part), m.words)):
                 approx += (piece @ words.T).astype(np.float32)[:, codes[:, s]]  # the asymmetric distance table of a subspace
             approx[(q_ids[i : i + 64, None] == alone[None, :]) & (count == 1)] = -np.inf
-            r = min(rerank, len(x))
+            r = min(rerank * most, len(x))  # so that ``rerank`` ids are scored
             cut = np.partition(approx, len(x) - r, axis=1)[:, len(x) - r]
             for j in range(len(part)):
                 best = np.flatnonzero(approx[j] >= cut[j])  # with all that tie at the cut
@@ -163,7 +164,10 @@ def _searcher(model, k: int, rerank: int):
                 score = np.repeat(np.einsum("rd,d->r", x[best], part[j]), n)
                 other = near != q_ids[i + j]
                 near, score = near[other], score[other]
-                top = np.lexsort((near, -score))[:k]
+                top = np.lexsort((near, -score))
+                if most > 1:  # an id counts once, by its best score
+                    top = top[np.sort(np.unique(near[top], return_index=True)[1])]
+                top = top[:k]
                 out.append((np.full(len(top), q_ids[i + j]), near[top], score[top]))
         return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 

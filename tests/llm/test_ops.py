@@ -323,6 +323,18 @@ def test_neighbours_smallest_ids_of_copies(spark):
     assert got == brute_nearest(rows, asked, 20)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_neighbours_counts_an_id_once(spark, same):
+    """Each id three times, with equal vectors or close ones: still k ids."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 12))
+    rows = [(i, (v + (0 if same else 0.01 * c)).tolist()) for c in range(3) for i, v in enumerate(x)]
+    rows += [(7, x[3].tolist())] * 40 + [(i, x[3].tolist()) for i in range(300, 340)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found_nearest(df, lambda i: i.isin(0, 3, 20), k=20, cell_rows=4000)
+    assert {q: len(f) for q, f in got.items()} == {0: 20, 3: 20, 20: 20} and got == brute_nearest(rows, (0, 3, 20), 20)
+
+
 def test_packing(docs, pairs, nothing):
     rows = packing.best_fit(docs, capacity=100, group_rows=40).collect()
     bins = defaultdict(list)
