@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column, table
 
 
 class Rule(NamedTuple):
@@ -246,7 +246,7 @@ def license_scan(docs: DataFrame, rules: list[Rule] | None = None, base: list[tu
 
     A null or empty text has no words, empty labels, score 0 and null places.  Whole texts; repeated rows give repeated rows.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), F.coalesce(column(text), F.lit("")).cast("binary").alias("body"))
     return rows.mapInArrow(_scan(signature_rules() if rules is None else rules, base, detail), SCHEMA)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, table, word_count
+from .common import Workspace, ascii_lower, column, table, word_count
 
 CAPACITY, GROUP_ROWS = 2048, 4096
 
@@ -87,8 +87,8 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_
     null source is a source; repeated rows are pieces of one cluster.  bin_id is group * 2**32 + the bin's number there.
     """
     work = Workspace(docs.sparkSession, "packing")
-    key = F.xxhash64(ascii_lower(F.col(f"`{text}`"))) if cluster is None else cluster.cast("long")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(key, F.lit(0)).alias("cluster"), word_count(F.col(f"`{text}`")).alias("size")).where("size > 0")
+    key = F.xxhash64(ascii_lower(column(text))) if cluster is None else cluster.cast("long")
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(source).cast("string").alias("source"), F.coalesce(key, F.lit(0)).alias("cluster"), word_count(column(text)).alias("size")).where("size > 0")
     rows = work.write(rows.withColumn("row_no", F.monotonically_increasing_id()))
     groups = max(1, round(rows.count() / group_rows))
     # Dealt by row, not by source or cluster: no group is larger than the others.

@@ -18,7 +18,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, column, table
 
 #: Key digits, from the most significant one: (column, shift, bits).
 DIGITS = [("k0", 16, 16), ("k0", 8, 8), ("k0", 0, 8), *[("k1", s, 8) for s in range(56, -1, -8)], *[("k2", s, 8) for s in range(56, -1, -8)]]
@@ -76,8 +76,8 @@ def histogram_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id",
     offsets come from the histograms.  A null doc_id sorts first; repeated rows are told apart by their place.
     """
     work = Workspace(docs.sparkSession, "sharding")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keys = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    body = F.coalesce(column(text), F.lit(""))
+    keys = docs.select(column(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     lowest = F.lit(-(1 << 63)).cast("long")
     # k1: doc_id with its sign bit turned, so that unsigned digits keep the order.
     keys = work.write(keys.withColumns({"k0": F.col("text_crc32"), "k1": F.coalesce(F.col("doc_id"), lowest).bitwiseXOR(lowest), "k2": F.monotonically_increasing_id()}))
