@@ -7,7 +7,8 @@ universe here is every key that any URL of the corpus can be asked about, so the
 Levels are one-row tables read as uncorrelated scalar subqueries: no joins, no Python, no driver-side copy.
 
 Size: level 0 takes ``len(listed) * log2(universe / listed) * 1.44`` bits, the levels below together less; the listed
-keys bound it, the corpus only by the logarithm.  ``MAX_BITS`` is checked.
+keys bound it, the corpus only by the logarithm.  A filter has at most ``MAX_BITS``; longer lists are divided by hash into several
+cascades, and the table of judged rows is written between them, so that no more than one division is in memory.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower
+from .common import Workspace, ascii_lower, column, table, whole_row
 
-MAX_BITS = 1 << 30
+#: Bits of one filter; more listed keys are divided by their hashes into cascades of their own, applied one after the other.
+MAX_BITS = 1 << 26
 MAX_LEVELS = 48
 
 
@@ -58,6 +60,11 @@ def bloom(keys: DataFrame, level: int, k: int, m: int) -> DataFrame:
     return words.agg(F.expr("transform(sort_array(collect_list(struct(w, b))), x -> x.b)").alias("bits"))
 
 
+def first_hashes(n: int, universe_bound: int) -> int:
+    """Hashes of level 0: so that about as many keys pass falsely as are listed."""
+    return max(2, math.ceil(math.log2(max(2.0, universe_bound / (0.7 * n)))))
+
+
 class Cascade:
     """Exact membership of ``listed`` (key) among ``universe`` (key) and the listed keys themselves."""
 
@@ -67,7 +74,7 @@ class Cascade:
         n = listed.count()
         if not n:
             return
-        self.add(listed, n, max(2, math.ceil(math.log2(max(2.0, universe_bound / (0.7 * n))))))
+        self.add(listed, n, first_hashes(n, universe_bound))
         # Of the universe only what passes level 0 is kept: about as many keys as are listed.
         seen = self.passing(universe.select("key"), 0).withColumn("is_listed", F.lit(False)).union(listed.withColumn("is_listed", F.lit(True)))
         both = work.write(seen.groupBy("key").agg(F.max("is_listed").alias("is_listed")))
@@ -80,8 +87,6 @@ class Cascade:
 
     def add(self, keys: DataFrame, n: int, k: int) -> None:
         m = -(-max(64, math.ceil(n * k / math.log(2))) // 64) * 64
-        if m > MAX_BITS:
-            raise ValueError(f"{n} keys need a filter of {m} bits; at most {MAX_BITS} are allowed")
         self.levels.append((self.work.write(bloom(keys, len(self.levels), k, m)), k, m))
 
     def passing(self, keys: DataFrame, level: int) -> DataFrame:
@@ -98,54 +103,68 @@ class Cascade:
         return df, sql
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", rank: tuple[str, ...] = ("allow", "block")) -> DataFrame:
-    """Adds ``host``, ``path``, ``rule`` and ``verdict`` to every row.
+def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", rank: tuple[str, ...] = ("allow", "block"), max_bits: int = MAX_BITS) -> DataFrame:
+    """(row, host, path, rule, listed, verdict) of every row; ``row`` is the whole input row as a struct, whatever its names.
 
     rules: (key, cls); a key is a host followed by a path prefix and fits its host and all subdomains.  The classes in
-    ``rank`` decide by the longest key; other classes are block lists that apply where no rule fits.  ``default`` is the
-    verdict of the rest, of null and malformed urls too.  Columns of these names in the input are replaced.
+    ``rank`` decide by the longest key, for one key in several classes by the later one in ``rank``; other classes are block lists
+    that apply where no rule fits (``listed``: their longest key that fits).  ``default`` is the verdict of the rest, of null
+    and malformed urls too.  Null and empty keys are no rules; repeated rules and rows change nothing for others; empty tables are fine.
     """
-    spark, work = pages.sparkSession, Workspace(pages.sparkSession, "url_filter")
-    rules = work.write(rules.where("key is not null and key != ''").distinct())
-    shapes = [tuple(r) for r in rules.select(F.expr("size(split(substring_index(key, '/', 1), '[.]'))").alias("k"), F.expr("length(key) - length(substring_index(key, '/', 1))").alias("n")).distinct().limit(4097).collect()]
-    if len(shapes) > 4096:
-        raise ValueError("the rules have more than 4096 shapes (labels of the host, length of the path)")
-    host, path = split_url(F.col(f"`{url}`"))
-    judged = pages.withColumn("host", host).withColumn("path", path)
-    # A host suffix and a path prefix of each shape that occurs in the rules; shorter ones than asked for are fit as well.
-    keys = [F.concat(F.substring_index("host", ".", -k), F.left(F.col("path"), F.lit(n))) for k, n in sorted(shapes)]
-    asked = judged.select(F.explode(F.array_distinct(F.array(*keys))).alias("key")) if keys else spark.range(0).select(F.lit("").alias("key"))
-    bound = pages.count() * len(keys)
-    classes = [*rank, *sorted(r[0] for r in rules.where(~F.col("cls").isin(*rank)).select("cls").distinct().collect())]
-    judged = judged.withColumn("_keys", F.array_distinct(F.array(*keys)) if keys else F.expr("cast(array() as array<string>)"))
-    hits = []
-    for i, cls in enumerate(classes):
-        judged, sql = Cascade(work, asked, rules.where(F.col("cls") == cls), bound).attach(judged, f"_bits{i}")
-        hits.append(f"transform(filter(_keys, c -> {sql}), c -> struct(length(c) as n, c as key, '{cls}' as cls))")
-    k = len(rank)
-    judged = judged.withColumn("_rule", F.expr(f"array_max(concat({', '.join(hits[:k])}))")).withColumn("_list", F.expr(f"array_max(concat({', '.join(hits[k:])}))" if hits[k:] else "cast(null as struct<n:int,key:string,cls:string>)"))
-    out = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "listed")]
-    return judged.select(*[F.col(f"`{c}`") for c in out], "host", "path", F.col("_rule.key").alias("rule"), F.col("_list.key").alias("listed"), F.coalesce(F.col("_rule.cls"), F.when(F.col("_list").isNotNull(), "block"), F.lit(default)).alias("verdict"))
+    work = Workspace(pages.sparkSession, "url_filter")
+    cls = F.array_position(F.array(*[F.lit(c) for c in rank]), F.col("cls")) - 1
+    rules = work.write(rules.where("key is not null and key != ''").select("key", F.when(cls >= 0, cls).otherwise(len(rank)).cast("int").alias("cls")).distinct())
+    # Suffixes of the host by their number of labels, and for each the lengths of path prefixes that occur in the rules.
+    shapes: dict[int, list[int]] = {}
+    for k, n in rules.select(F.expr("size(split(substring_index(key, '/', 1), '[.]'))").alias("k"), F.expr("length(key) - length(substring_index(key, '/', 1))").alias("n")).distinct().collect():
+        shapes.setdefault(k, []).append(n)
+    host, path = split_url(column(url))
+    judged = pages.select(whole_row(pages).alias("row"), host.alias("host"), path.alias("path"))
+    keys = [f"transform(filter(array({', '.join(map(str, sorted(ns)))}), n -> n <= length(path)), n -> concat(substring_index(host, '.', -{k}), left(path, n)))" for k, ns in sorted(shapes.items())]
+    judged = judged.withColumn("keys", F.expr(f"array_distinct(concat({', '.join(keys)}))" if keys else "cast(array() as array<string>)"))
+    asked = judged.select(F.explode("keys").alias("key"))
+    bound = pages.count() * sum(map(len, shapes.values()))
+    counts = dict(rules.groupBy("cls").count().collect())
+    none = "cast(null as struct<n: int, key: string, cls: int>)"
+    judged = judged.withColumns({"rule": F.expr(none), "listed": F.expr(none)})
+    for i in sorted(counts):
+        into, listed = ("rule" if i < len(rank) else "listed"), rules.where(F.col("cls") == i)
+        parts = max(1, math.ceil(counts[i] * first_hashes(counts[i], bound) / math.log(2) / max_bits))
+        for p in range(parts):
+            mine = f"pmod(xxhash64(%s, 'part'), {parts}) = {p}"
+            one = parts == 1
+            found, sql = Cascade(work, asked if one else asked.where(mine % "key"), listed if one else listed.where(mine % "key"), bound).attach(judged, f"bits{i}")
+            hits = f"transform(filter(keys, c -> {'' if one else mine % 'c' + ' and '}{sql}), c -> struct(length(c) as n, c as key, {i} as cls))"
+            judged = found.withColumn(into, F.greatest(into, F.expr(f"array_max({hits})"))).select(judged.columns)
+            if not one:
+                judged = work.write(judged)
+    names = F.array(*[F.lit(c) for c in rank])
+    verdict = F.coalesce(F.get(names, F.col("rule.cls")), F.when(F.col("listed").isNotNull(), "block"), F.lit(default))
+    return judged.select("row", "host", "path", F.col("rule.key").alias("rule"), F.col("listed.key").alias("listed"), verdict.alias("verdict"))
 
 
 # Fixed values of the query's contract.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-#: The method's own block list: whole hosts of spam.
-SPAM = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "ads-track.example.com"]
+#: The method's own block list is made of the corpus's hosts that have one of these words, between dots and dashes.
+SPAM_WORDS = ["adult", "ads", "bet", "bets", "betting", "casino", "cialis", "clickbait", "crack", "escort", "forex", "gambling", "jackpot", "keygen", "lottery", "payday", "pharma", "phishing", "pills", "poker", "popunder", "porn", "replica", "sex", "slots", "spam", "torrent", "tracker", "track", "viagra", "warez", "xxx"]
+
+
+def spam_hosts(pages: DataFrame, url: str = "url", words: list[str] = SPAM_WORDS) -> DataFrame:
+    """(key, cls) of the distinct hosts that have a word of spam: a block list that grows with the corpus."""
+    host, _ = split_url(column(url))
+    return pages.select(host.alias("key")).where(F.arrays_overlap(F.split("key", "[.-]"), F.array(*[F.lit(w) for w in words]))).distinct().select("key", F.lit("spam").alias("cls"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = listed_keys(spark, RULES + [(h, "spam") for h in SPAM])
-    return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, listed_keys(spark, RULES).union(spam_hosts(pages))).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT * FROM (VALUES {', '.join(f"('{k.split('/')[0]}', '/{k.split('/', 1)[1]}', '{k}', '{c}')" for k, c in RULES)}) AS t(h, pre, rule, cls)),
-m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(cls, length(rule)) AS cls FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id),
-s AS (SELECT DISTINCT page_id FROM p, (VALUES {', '.join(f"('{h}')" for h in SPAM)}) AS t(h) WHERE host = h OR ends_with(host, '.' || h))
-SELECT p.page_id, host, path, rule, coalesce(cls, CASE WHEN s.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN m USING (page_id) LEFT JOIN s ON s.page_id = p.page_id
+m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(cls, length(rule)) AS cls FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(cls, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), {SPAM_WORDS}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (page_id)
 """
