@@ -1,10 +1,13 @@
-"""Token counts: pieces are counted once per distinct pre-token.
+"""Token counts: pieces are counted once per distinct pre-token and joined to the documents' pre-token frequencies.
 
-The vocabulary's pre-tokenizer never joins what white space divides, and drops white space.  So each batch of whole texts is
-cut at white space into pre-tokens, the batch's distinct ones are encoded once by the public library, and their piece
-counts, joined to each document's pre-token frequencies by the pre-token's code, are summed.  Ids of documents never exist.
-A task remembers the counts of up to ``REMEMBERED`` pre-tokens, of ``REMEMBERED_CHARS`` characters in all, between documents: scripts
-without white space make pre-tokens of whole paragraphs.  A single document's own may exceed this while it is counted.
+The vocabulary's pre-tokenizer never joins what white space divides, and drops white space: what stands between white space is a
+pre-token here.  Whole texts are cut once, and each block of documents is written as frequencies: for each of its distinct
+pre-tokens, the documents that hold it and how often.  The pre-tokens are made distinct over the whole table, each is encoded once by
+the public library, only to count its pieces, and the counts are joined back by the pre-token itself; frequency times pieces, summed
+per document, is the result.  Ids are never kept.
+
+Skew: a pre-token is one row for each block and not for each document.  The most common ones, a bounded number of bounded
+length, get their counts by a broadcast, so that their frequencies stay where they are; only those of the others move.
 """
 
 from __future__ import annotations
@@ -18,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, column, table
 
-REMEMBERED, REMEMBERED_CHARS, LIMIT = 400_000, 1 << 24, 2048
+LIMIT = 2048
+#: A block ends at so many documents or characters; a longer text is a block of its own, cut in stretches of this length.
+BLOCK_DOCS, BLOCK_CHARS = 8192, 1 << 22
+#: Common pre-tokens that are broadcast: at most so many, of at most so many characters each (16 MB).
+COMMON, COMMON_CHARS = 1 << 16, 64
 #: Unicode's White_Space, by which the vocabulary's normalizer and pattern divide; Python's str.split() takes four more.
 WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -30,7 +37,76 @@ def pre_tokens(text: str) -> list[str]:
     return [x for x in WHITE.split(text) if x] if ODD.search(text) else text.split()
 
 
-def _counter(path: str, limit: int):
+def stretches(text: str, length: int) -> Iterator[str]:
+    """The text in parts that end at white space, of about ``length`` characters each."""
+    at = 0
+    while len(text) - at > length:
+        gap = WHITE.search(text, at + length)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+class Codes(dict):
+    """Numbers pre-tokens as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Block:
+    """Frequencies of the pre-tokens of consecutive documents."""
+
+    def __init__(self):
+        self.code = Codes()
+        self.base, self.ids, self.sizes, self.chars, self.pairs = None, [], [], 0, []
+
+    def add(self, uid: int, doc_id: int | None, text: str) -> None:
+        if self.base is None:
+            self.base = uid
+        found = [np.fromiter(map(self.code.__getitem__, pre_tokens(part)), np.int64) for part in stretches(text, BLOCK_CHARS)]
+        values, times = np.unique(np.concatenate(found), return_counts=True)
+        self.pairs.append((values, np.full(len(values), uid - self.base), times))
+        self.ids.append(doc_id)
+        self.sizes.append(len(text.encode()))
+        self.chars += len(text)
+
+    def full(self) -> bool:
+        return len(self.ids) >= BLOCK_DOCS or self.chars >= BLOCK_CHARS
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """A row of the documents themselves, and a row for each distinct pre-token."""
+        code, doc, times = (np.concatenate([p[i] for p in self.pairs]) for i in range(3))
+        order = np.argsort(code, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.code))))).astype(np.int32)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order].astype(np.int32)))
+        none, n = pa.nulls(1, pa.list_(pa.int64())), len(self.code)
+        yield pa.RecordBatch.from_arrays([pa.array([self.base]), pa.nulls(1, pa.string()), none.cast(pa.list_(pa.int32())), none.cast(pa.list_(pa.int32())), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.sizes], pa.list_(pa.int64()))], names=COLUMNS)
+        if n:
+            none = pa.nulls(n, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.base)), pa.array(list(self.code), pa.string()), lists(doc), lists(times), none, none], names=COLUMNS)
+
+
+COLUMNS = ["base", "token", "docs", "times", "ids", "sizes"]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = Block()
+    for batch in batches:
+        uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for uid, doc_id, text in zip(uids, ids, batch.column(2)):
+            block.add(uid, doc_id, text.as_py() or "")
+            if block.full():
+                yield from block.rows()
+                block = Block()
+    if block.ids:
+        yield from block.rows()
+
+
+def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
@@ -38,27 +114,16 @@ def _counter(path: str, limit: int):
         tok = Tokenizer.from_file(path)
         tok.no_padding()
         tok.no_truncation()
-        known: dict[str, int] = {}
-        chars = 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            n_bytes, n_tokens = [], []
-            for text in texts:
-                words = pre_tokens(text or "")
-                try:
-                    counts = sum(map(known.__getitem__, words))
-                except KeyError:
-                    new = [w for w in dict.fromkeys(words) if w not in known]
-                    if len(known) + len(new) > REMEMBERED or chars + sum(map(len, new)) > REMEMBERED_CHARS:
-                        known.clear()
-                        chars, new = 0, list(dict.fromkeys(words))
-                    chars += sum(map(len, new))
-                    known.update(zip(new, (len(e) for e in tok.encode_batch_fast(new, add_special_tokens=False))))
-                    counts = sum(map(known.__getitem__, words))
-                n_tokens.append(counts)
-                n_bytes.append(len((text or "").encode()))
-            n = pa.array(n_tokens, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), n, pa.array(np.array(n_tokens, np.int64) > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            words, counts, at = batch.column(0).to_pylist(), [], 0
+            while at < len(words):
+                end, chars = at, 0
+                while end < len(words) and (end == at or chars + len(words[end]) <= 1 << 16):
+                    chars += len(words[end])
+                    end += 1
+                counts += [len(e) for e in tok.encode_batch_fast(words[at:end], add_special_tokens=False)]
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32())], names=["token", "n", "pieces"])
 
     return run
 
@@ -66,10 +131,25 @@ def _counter(path: str, limit: int):
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; a null text is empty, an empty one has no tokens.
 
-    ``vocabulary``: path of a tokenizers file, there on every executor, whose pre-tokenizer divides at white space.
+    ``vocabulary``: path of a tokenizers file, there on every executor, whose pre-tokenizer divides at white space.  A null
+    doc_id stays null; repeated rows are rows of their own; an empty table gives none.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(_counter(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    work = Workspace(docs.sparkSession, "tokens")
+    # Consecutive rows of a partition have consecutive uids: a block's documents are its first uid and an offset.
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"))
+    found = work.write(rows.mapInArrow(_frequencies, "base long, token string, docs array<int>, times array<int>, ids array<long>, sizes array<long>"))
+    distinct = found.where("token is not null").groupBy("token").agg(F.sum(F.size("docs")).alias("n"))
+    pieces = work.write(distinct.mapInArrow(_pieces(vocabulary), "token string, n long, pieces int"))
+    common = pieces.where(F.length("token") <= COMMON_CHARS).orderBy(F.desc("n"), "token").limit(COMMON).select("token", "pieces")
+    common = work.write(common)
+    marked = found.where("token is not null").join(F.broadcast(common), "token", "left")  # COMMON rows at most
+    rare = marked.where("pieces is null").drop("pieces").join(pieces.select("token", "pieces"), "token")
+    nothing = F.lit(None).cast("long")
+    counted = [f.select("base", "pieces", F.inline(F.arrays_zip("docs", "times"))).select((F.col("base") + F.col("docs")).alias("uid"), nothing.alias("doc_id"), nothing.alias("n_bytes"), (F.col("times").cast("long") * F.col("pieces")).alias("tokens")) for f in (marked.where("pieces is not null"), rare)]
+    own = found.where("token is null").select("base", F.posexplode(F.arrays_zip("ids", "sizes"))).select((F.col("base") + F.col("pos")).alias("uid"), F.col("col.ids").alias("doc_id"), F.col("col.sizes").alias("n_bytes"), F.lit(0).cast("long").alias("tokens"))
+    every = own.unionByName(counted[0]).unionByName(counted[1])
+    out = every.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
