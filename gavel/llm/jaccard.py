@@ -10,9 +10,9 @@ The order needs frequencies only for the shingles it ranks first.  So only a fix
 (``1.75 (1 - t)`` of it), ranked by (frequency, hash); shingles outside follow by hash.  A set shorter of region shingles than
 its prefix adds the next ones.  Sets whose prefix holds no shared shingle are linked with nothing and are never read again.
 
-Skew: equal sets count once.  Shingles of more than HOT sets are found by counts with map-side combining and get
-their frequency by a broadcast of at most 16384 rows.  Groups that share sets form families, and a set is searched once in
-its family.  A large family is searched in blocks that share random pivots; where that leaves a shingle's group in more
+Skew: equal sets count once.  Frequencies come from an aggregate with map-side combining, and are joined back by a merge whose
+other side has one row for each shingle, so that adaptive execution can split a shingle of any number of sets; nothing is ever
+gathered by shingle.  Groups that share sets form families, and a set is searched once in its family.  A large family is searched in blocks that share random pivots; where that leaves a shingle's group in more
 than one component, what lies outside the group's largest component is searched against the whole group: no link is lost and no
 cap is set.
 """
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, WordHasher, Workspace, mix, shingle_set, table
+from .common import FOLD, WordHasher, Workspace, column, mix, shingle_set, table, whole_row
 
-BUCKETS, HOT, BLOCK, BLOCK_TOKENS, PIVOTS = 1 << 16, 2000, 512, 1 << 20, 24
-#: Ids of documents to read again are broadcast up to so many; beyond, the tables are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 20, 24
+#: Ids are broadcast up to so many, about 32 MB; beyond, the tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -255,8 +255,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard")
     region = min(1 << 63, int(1.75 * (1 - num / den) * (1 << 64)) + 1)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("body"))
+    body = F.coalesce(column(text), F.lit("")).cast("binary")
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), body.alias("body"))
     sets = rows.mapInArrow(_first_tokens(width, num, den, region), "doc_id long, n int, a long, b long, slack int, tokens array<long>")
     sets = work.write(sets.withColumn("uid", F.monotonically_increasing_id()))
     # One of equal sets goes on; the smallest doc_id, nulls last.
@@ -264,8 +264,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     reps = work.write(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min(me).alias("me")).select("a", "b", "n", F.col("me.doc_id").alias("doc_id"), F.col("me.uid").alias("uid")))
     once = work.write(sets.select("uid", "slack", "tokens").join(reps.select("uid"), "uid", "left_semi"))
     tokens = once.select(F.explode("tokens").alias("token"), "uid", "slack")
-    hot = hot_tokens(tokens, work)
-    kept = prefix_tokens(tokens, hot, region, work)
+    kept = prefix_tokens(tokens, region, work)
     work.drop(once)
     sets = work.write_over(sets, sets.drop("tokens", "slack"))
     labels = search(docs, reps, kept, width, num, den, doc_id, body, work)
@@ -281,34 +280,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     return out
 
 
-def hot_tokens(tokens: DataFrame, work: Workspace) -> DataFrame:
-    """(token, freq) of the shingles of at least ``HOT`` sets, and of at least four times the mean bucket: at most 16384.
-
-    Counts of ``BUCKETS`` classes of shingles first, then of the shingles of the classes that are large enough.
-    """
-    bucket = F.col("token").bitwiseAND(BUCKETS - 1).alias("bucket")
-    counts = tokens.groupBy(bucket).count().collect()  # at most BUCKETS rows
-    least = max(HOT, 4 * sum(r[1] for r in counts) // BUCKETS)
-    large = [r[0] for r in counts if r[1] >= least]
-    if not large:
-        return work.write(tokens.where("false").select("token", F.lit(0).cast("long").alias("freq")))
-    spark = tokens.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(b,) for b in large], "bucket long"))
-    return work.write(tokens.withColumn("bucket", bucket).join(wanted, "bucket").groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
-
-
-def prefix_tokens(tokens: DataFrame, hot: DataFrame, region: int, work: Workspace) -> DataFrame:
+def prefix_tokens(tokens: DataFrame, region: int, work: Workspace) -> DataFrame:
     """(uid, token) for the shared shingles in each set's prefix."""
-    from pyspark.sql import Window
-
-    few = F.broadcast(hot)
-    cold = tokens.join(few, "token", "left_anti").withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("freq > 1")
-    shared = cold.unionByName(tokens.join(few, "token"))
+    freq = work.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"))
+    # Both sides grow with the corpus: a merge at any size.
+    shared = tokens.join(freq.hint("merge"), "token")
     inside = (F.col("token") >= 0) & (F.col("token") < region) if region < (1 << 63) else F.col("token") >= 0
     shared = shared.select("uid", "slack", F.struct(F.when(inside, F.col("freq")).otherwise(F.lit(1 << 60)).alias("freq"), "token").alias("t"))
     lists = shared.groupBy("uid", "slack").agg(F.sort_array(F.collect_list("t")).alias("ts"))  # at most a document's own
     keep = F.when(F.col("slack") > 0, F.size("ts")).otherwise(F.greatest(F.lit(0), F.size("ts") + F.col("slack")))
-    return work.write(lists.withColumn("ts", F.slice("ts", F.lit(1), keep)).where("size(ts) > 0").select("uid", F.explode("ts.token").alias("token")))
+    kept = work.write(lists.withColumn("ts", F.slice("ts", F.lit(1), keep)).where("size(ts) > 0").select("uid", F.explode("ts.token").alias("token")))
+    work.drop(freq)
+    return kept
 
 
 def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: int, den: int, doc_id: str, body, work: Workspace) -> DataFrame:
@@ -328,7 +311,7 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
     wanted = members.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")).distinct()
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    key = F.col(f"`{doc_id}`").cast("long")
+    key = column(doc_id).cast("long")
     texts = docs.select(F.coalesce(key, F.lit(-1)).alias("_id"), key.isNull().alias("_none"), body.alias("_body")).join(wanted, ["_id", "_none"], "left_semi").select("_body")
     whole = texts.mapInArrow(_whole_sets(width), "a long, b long, n int, items array<long>")
     whole = work.write(whole.join(members.select("a", "b", "n", "uid").distinct(), ["a", "b", "n"]).select("uid", "n", "items").dropDuplicates(["uid"]))
@@ -371,13 +354,18 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each component stays, with all its columns; rows that share a doc_id go only together."""
+    """The rows of one document of each component, with all their columns as they are.
+
+    The document with the smallest doc_id stays, a null doc_id only if the component has no other; documents without words, or
+    with a null text, are components of their own and stay.  Rows that share a doc_id go only together: they stay if one of
+    them does.  An empty table gives one.
+    """
     work = Workspace(docs.sparkSession, "jaccard")
     judged = jaccard_components(docs, doc_id=doc_id, **options)
-    gone = work.write(judged.groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")))
+    gone = work.write(judged.groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")))
     judged.workspace.drop_all_but()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    key = F.col(f"`{doc_id}`").cast("long")
-    marked = docs.withColumns({"_id": F.coalesce(key, F.lit(-1)), "_none": key.isNull()})
-    return marked.join(gone, ["_id", "_none"], "left_anti").drop("_id", "_none")
+    key = column(doc_id).cast("long")
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(key, F.lit(-1)).alias("id"), key.isNull().alias("none"))
+    return rows.join(gone, ["id", "none"], "left_anti").select("row.*")
