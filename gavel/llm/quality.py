@@ -10,15 +10,16 @@ every whole text once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, table
+from .common import WordHasher, column, table, whole_row
 
-BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 12, 4.0
+BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 5, 4.0
 #: Bounds of the training sample; whole texts only, none longer than ``1 / SHARE`` of the bytes.
 MAX_ROWS, MAX_BYTES, SHARE = 4000, 12 << 20, 32
 FOLDS, THRESHOLD = 5, 0.3
@@ -112,45 +113,48 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learns from the first ``max_rows`` labelled rows in the order of a hash of doc_id, as far as ``max_bytes`` of text go.
 
     Rows of the held-out fold, null doc_ids, labels other than 0 and 1 and ids with contradicting labels are left out, and so
-    are texts longer than ``max_bytes`` / ``SHARE``: the others go on.  If the bytes leave no row of a label, that is an error.
+    are texts longer than ``max_bytes`` / ``SHARE``: the others go on.  Of rows that repeat a doc_id, one of
+    each length counts.  If the bytes leave no row of a label, that is an error; without labels, all scores are 0.5.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).where("_y = _top").select("_id", "_y")
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), body.alias("_body")).join(F.broadcast(known), "_id")  # at most max_rows rows
-    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.length("_body")).limit(max_rows)
-    from pyspark.sql import Window
-
-    own = F.when(F.length("_body") <= max_bytes // SHARE, F.length("_body"))
-    rows = rows.withColumn("_sum", F.sum(own).over(Window.orderBy(F.xxhash64("_id"), "_id", F.length("_body")).rowsBetween(Window.unboundedPreceding, 0)))
-    got = rows.select(F.when(own.isNotNull() & (F.col("_sum") <= max_bytes), F.col("_body")).alias("_body"), "_y").toArrow()
-    sample = [(x.as_py(), y) for x, y in zip(got.column(0), got.column(1).to_pylist()) if x.is_valid]
-    lost = set(got.column(1).to_pylist()) - {y for _, y in sample}
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    body = F.coalesce(column(text), F.lit(""))
+    # The sample is chosen by sizes alone; only the texts that it holds are fetched then.
+    sizes = docs.select(column(doc_id).cast("long").alias("id"), F.octet_length(body).alias("n")).join(F.broadcast(known), "id").distinct()  # at most max_rows rows are broadcast
+    seen = sizes.orderBy(F.xxhash64("id"), "id", "n").limit(max_rows).select("id", "n", "y").collect()
+    short = [r for r in seen if r["n"] <= max_bytes // SHARE]
+    chosen = [tuple(r) for r, total in zip(short, accumulate(r["n"] for r in short)) if total <= max_bytes]
+    lost = {r["y"] for r in seen} - {y for *_, y in chosen}
     if lost:
         raise ValueError(f"no text of label {min(lost)} fits the training sample: {max_bytes} bytes in all, {max_bytes // SHARE} for one text")
-    return train([x for x, _ in sample], [y for _, y in sample])
+    chosen = docs.sparkSession.createDataFrame(chosen, "id long, n int, y int")
+    rows = docs.select(column(doc_id).cast("long").alias("id"), body.cast("binary").alias("body")).withColumn("n", F.length("body")).join(F.broadcast(chosen), ["id", "n"])
+    got = rows.groupBy("id", "n", "y").agg(F.min_by("body", F.xxhash64("body")).alias("body")).orderBy(F.xxhash64("id"), "id", "n").select("body", "y").toArrow()
+    return train(got.column(0).to_pylist(), got.column(1).to_pylist())
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
     """(row, score): every row as a struct with its score from its text alone; null counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(column(text), F.lit("")).cast("binary").alias("body"))
     from pyspark.sql.types import DoubleType, StructType
 
     return rows.mapInArrow(_scorer(shared), StructType().add("row", rows.schema["row"].dataType).add("score", DoubleType()))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    slim = docs.select("doc_id", "text")
-    shared = spark.sparkContext.broadcast(model)
-    rows = slim.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    scored = rows.mapInArrow(_scorer(shared), "row long, score double").withColumnRenamed("row", "doc_id")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are not rejected, with all their columns."""
-    return classify(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select("row.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
+    # As ``classify``, but only the id goes through Python beside the text.
+    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body")).mapInArrow(_scorer(model), "row long, score double")
+    return scored.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that are not rejected, with all their columns as they are.
+
+    Every row is judged by its own text, repeated rows alike, a null text as an empty one; an empty table gives one.  Without any
+    labels nothing is rejected.
+    """
+    return classify(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("row.*")
