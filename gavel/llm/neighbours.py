@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, column, table
 
 SAMPLE, SUBSPACES, CODEWORDS, RERANK = 32768, 32, 256, 512
-CELL_ROWS, VISITORS, MAX_CELLS, COVER = 4096, 1024, 4096, 0.97
+#: Cells: about the square root of the rows, at most MAX_CELLS; blocks have about CELL_ROWS rows and VISITORS queries.
+CELL_ROWS, VISITORS, MAX_CELLS, COVER = 4096, 1024, 4096, 0.95
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -174,14 +175,14 @@ def _searcher(model, k: int, rerank: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, rerank: int = RERANK, cell_rows: int = 4000) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, rerank: int = RERANK, cells: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (a Column of ``vec_id``) holds.
 
     A row is no candidate of a query with its own id.  Rows without an id take no part; rows that repeat an id count
     once for each query, by their best score.
     """
     spark, work = vectors.sparkSession, Workspace(vectors.sparkSession, "neighbours")
-    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("vector"))
+    rows = vectors.select(column(vec_id).cast("long").alias("vec_id"), column(embedding).cast("array<double>").alias("vector"))
     fit = "vec_id is not null and vector is not null and size(vector) > 0 and exists(vector, v -> v != 0) and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('inf'))"
     rows = rows.where(F.coalesce(F.expr(fit), F.lit(False)))
     dims = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -191,8 +192,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, vec_id: str =
     dim, n = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("vector") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    cells = int(np.clip(n // cell_rows, 1, MAX_CELLS))
-    model = Model(_matrix(sample.column(0).combine_chunks(), dim), cells)
+    cells = cells or int(np.clip(round(n**0.5), 1, MAX_CELLS))
+    model = Model(np.unique(_matrix(sample.column(0).combine_chunks(), dim), axis=0), cells)  # copies would crowd the calibration
     probes = probes or model.probes
     model = spark.sparkContext.broadcast(model)  # MAX_CELLS centroids, CODEWORDS codewords
     distinct = rows.mapInArrow(_thinner(dim, k + 1), "vec_ids array<long>, vector binary").groupBy("vector").agg(F.collect_list("vec_ids").alias("vec_ids"))
