@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,24 +59,47 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+URLS = [None, "", "no scheme", "http://", "http://com/en/", "https://A.COM/en/x?q#f", "http://a.example.com/en/7817", "http://example.com/en/6", "http://notexample.net/de/8", "http://x.example.net/de/8/1", "http://example.net#/de/8", "http://org/es", "http://org/es/", "a://b://com/en/", "http://x.CASINO-win.example.com/", "http://com.com/en/", "http://casinos.example.com/", "http://bets.net/de/1", "http://pills.org?x"]
+
+
+def judged_url(url):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        host = lower(host)
+    fits = [(k, v) for k, v in url_filter.RULES if (host == k.split("/")[0] or host.endswith("." + k.split("/")[0])) and path.startswith("/" + k.split("/", 1)[1])]
+    rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, None)
+    return host, path, rule, verdict or ("block" if set(re.split("[.-]", host)) & set(url_filter.SPAM_WORDS) else "allow")
+
+
+CLASH = "_id, _none, _keys, _rule, _p, _label, row, host, rule, keys, bits, uid, digest, bucket, taken, score, name"
+
+
+def clashing(df):
+    """The frame with a column for each of these names, holding the name."""
+    return df.select("*", *[F.lit(n).alias(n) for n in CLASH.split(", ") if n not in df.columns])
+
+
+def same_columns(before, after):
+    assert after.columns == before.columns
+    for r in after.collect():
+        assert all(r[n] == n for n in CLASH.split(", ") if n not in SCHEMA)
+
+
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "http://com/en/", "https://A.COM/en/x?q#f", "http://a.example.com/en/7817", "http://example.com/en/6", "http://notexample.net/de/8", "http://x.example.net/de/8/1", "http://example.net#/de/8", "http://org/es", "http://org/es/", "a://b://com/en/", "http://x.casino-win.example.com/", "http://com.com/en/"]
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(3, urls[4], "x", "y")], "page_id long, url string, host string, rule string")
-    rules = url_filter.listed_keys(spark, url_filter.RULES + [(h, "spam") for h in url_filter.SPAM])
-    got = url_filter.url_filter(pages, rules)
-    for r in got.collect():
-        host, path = "", ""
-        if r.url and "://" in r.url:
-            rest = r.url.split("://", 1)[1]
-            host = re.match("[^/?#]*", rest)[0]
-            path = re.match("[^?#]*", rest[len(host):])[0]
-            host = lower(host)
-        fits = [(k, v) for k, v in url_filter.RULES if (host == k.split("/")[0] or host.endswith("." + k.split("/")[0])) and path.startswith("/" + k.split("/", 1)[1])]
-        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, None)
-        spam = any(host == h or host.endswith("." + h) for h in url_filter.SPAM)
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if spam else "allow"))
-    assert got.count() == len(urls) + 1 and url_filter.url_filter(pages.where("false"), rules).count() == 0
-    assert url_filter.url_filter(pages, rules.where("false")).where("rule is null and verdict = 'allow'").count() == len(urls) + 1
+    pages = clashing(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(3, URLS[4])], "page_id long, url string"))
+    rules = url_filter.listed_keys(spark, url_filter.RULES).union(url_filter.spam_hosts(pages))
+    for max_bits in (url_filter.MAX_BITS, 16):  # with few bits, each class is divided into several cascades
+        got = url_filter.url_filter(pages, rules, max_bits=max_bits).collect()
+        assert Counter((r.row.url, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((u, *judged_url(u)) for u in [*URLS, URLS[4]])
+        assert all(r.row[n] == n for r in got for n in CLASH.split(", "))
+    assert url_filter.url_filter(pages.where("false"), rules).count() == 0
+    assert url_filter.url_filter(pages, rules.where("false")).where("rule is null and verdict = 'allow'").count() == len(URLS) + 1
+    odd = url_filter.listed_keys(spark, [("com/en/", "o'clock"), ("com/en/", "allow"), ("com/en/", "block"), (None, "x")])
+    kept = url_filter.url_filter(pages.withColumnRenamed("host", "url2").withColumn("host", F.col("url")), odd, url="host", rank=("block", "allow"))
+    assert {(r.rule, r.listed, r.verdict) for r in kept.where("startswith(path, '/en/') and rule is not null").collect()} == {("com/en/", "com/en/", "allow")}
 
 
 def test_cascade_is_exact(spark):
@@ -102,8 +124,9 @@ def test_exact_dedup(docs, pairs, nothing):
         want = Counter((i, top[lower(t)], len(groups[lower(t)]), hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in pairs if widths != (2, 3) or len(t or "") < 9999)
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert Counter(r.text_sha256 for r in got if r.kept) == Counter({r.text_sha256: 1 for r in got})
-    kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and Counter(lower(r.text) for r in kept.collect()) == Counter(dict.fromkeys(groups, 1))
+    kept = exact_dedup.drop_exact_copies(clashing(docs))
+    same_columns(clashing(docs), kept)
+    assert Counter((r.doc_id, lower(r.text)) for r in kept.collect()) == Counter((top[x], x) for x in groups)
     assert exact_dedup.exact_dedup(nothing).count() == 0 and exact_dedup.drop_exact_copies(nothing).count() == 0
 
 
@@ -118,7 +141,8 @@ def test_quality(spark, docs, nothing):
     held = [r for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 10 and all((r.score >= 0.3) == (r.doc_id < 80) for r in held)
     assert all(0 <= r.score <= 1 for r in rows) and len(rows) == 161
-    assert quality.keep_good(docs, labels.where("false")).columns == docs.columns and quality.keep_good(nothing, labels).count() == 0
+    same_columns(clashing(docs), quality.keep_good(clashing(docs), labels.where("false")))
+    assert quality.keep_good(nothing, labels).count() == 0 and quality.keep_good(docs, labels.where("false")).count() == docs.count()
 
 
 def test_quality_goes_on_after_a_long_text(spark):
@@ -159,7 +183,32 @@ def test_mixing(docs, pairs, nothing):
     assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] + 64 for s in names)
     assert Counter(map(tuple, mixing.mix(docs, block=16)[0].collect())) == Counter(map(tuple, rows))
     assert slots.groupBy("rank", "index").count().agg(F.max("count")).first()[0] <= 2
-    assert mixing.mix(nothing)[0].count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mix(nothing)[0].count() == 0
+    same_columns(clashing(docs), mixing.mixed_documents(clashing(docs)))
+
+
+def test_deal_is_multinomial_and_exact(spark):
+    from gavel.llm.common import Workspace
+
+    quota = spark.createDataFrame([(i, 50 + i, n) for i, n in enumerate([30_000, 10_000, 300, 7, 0] + [5] * 200)], "rank int, blocks long, slots long")
+    total = 30_000 + 10_000 + 300 + 7 + 1000
+    got = mixing.deal(quota, total, 3, Workspace(spark, "t")).collect()
+    assert sorted(r.slot for r in got) == list(range(total))
+    draws = defaultdict(list)
+    for r in got:
+        draws[r.rank].append(r.draw)
+    assert {k: sorted(v) for k, v in draws.items()} == {r.rank: list(range(r.slots)) for r in quota.collect() if r.slots}
+    per = Counter((r.shard, r.rank) for r in got)
+    first = [per[s, 0] for s in range(total // 1024)]
+    p = 30_000 / total
+    assert 0.4 < np.var(first) / (1024 * p * (1 - p)) < 2.2  # as draws with replacement have
+
+
+def test_mixing_divides_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    docs = spark.range(2000).selectExpr("if(id < 700, null, id) as doc_id", "if(id < 700, 'same text of words', repeat('w ', cast(id % 90 as int))) as text", "'s' as source")
+    rows = mixing.mix(docs, most=1.2)[0].collect()
+    assert len(rows) == 2000 and abs(sum(r.taken for r in rows) - rows[0].target) <= 0.02 * rows[0].target and all(0 <= r.taken <= 2 * r.size for r in rows)
 
 
 def test_mixed_words_meet_targets(spark):
@@ -241,7 +290,12 @@ def test_jaccard(docs, pairs, nothing, width, num, monkeypatch):
         monkeypatch.setattr(jaccard, "PIVOTS", 2)
         got = jaccard.jaccard_components(docs, width, num, 100)
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
-    assert jaccard.jaccard_components(nothing).count() == 0 and jaccard.keep_one_of_each(docs).columns == docs.columns
+    assert jaccard.jaccard_components(nothing).count() == 0
+    kept = jaccard.keep_one_of_each(clashing(docs), width=width, num=num, den=100)
+    same_columns(clashing(docs), kept)
+    first = {min((k for k in range(len(sets)) if find(k) == find(j)), key=lambda k: (sets[k][0] is None, sets[k][0] or 0)) if sets[j][1] else j for j in range(len(sets))}
+    stays = {sets[k][0] for k in first}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in sets if i in stays)
 
 
 def test_link_equals_all_pairs():
@@ -275,7 +329,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] * 12), (1003, [None] * 12), (1004, [1.0]), (None, [1.0] * 12), (20, x[20].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = defaultdict(list)
-    for r in neighbours.nearest_neighbours(df, lambda i: i % 20 == 0, k=20, cell_rows=100).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest_neighbours(df, lambda i: i % 20 == 0, k=20, cells=9).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score, r.rank))
     hit = 0
     assert set(got) == set(range(0, 900, 20))
@@ -319,7 +373,7 @@ def test_neighbours_smallest_ids_of_copies(spark):
     rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(2000), x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(75)
     asked = {rows[i][0] for i in (500, 900, 1999)} | {rows[int(np.argsort(-(x[:500] @ x[500]))[0])][0]}
-    got = found_nearest(df, lambda i: i.isin(*asked), k=20, cell_rows=4000)
+    got = found_nearest(df, lambda i: i.isin(*asked), k=20, cells=1)
     assert got == brute_nearest(rows, asked, 20)
 
 
@@ -331,7 +385,7 @@ def test_neighbours_counts_an_id_once(spark, same):
     rows = [(i, (v + (0 if same else 0.01 * c)).tolist()) for c in range(3) for i, v in enumerate(x)]
     rows += [(7, x[3].tolist())] * 40 + [(i, x[3].tolist()) for i in range(300, 340)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = found_nearest(df, lambda i: i.isin(0, 3, 20), k=20, cell_rows=4000)
+    got = found_nearest(df, lambda i: i.isin(0, 3, 20), k=20, cells=1)
     assert {q: len(f) for q, f in got.items()} == {0: 20, 3: 20, 20: 20} and got == brute_nearest(rows, (0, 3, 20), 20)
 
 
@@ -380,17 +434,15 @@ def test_tokens(spark, docs, nothing):
     assert tokens.count_tokens(nothing, path).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"REMEMBERED": 3}, {"REMEMBERED_CHARS": 20}])
-def test_tokens_forgets(monkeypatch, limits):
-    """Counts don't depend on what a task remembers."""
+@pytest.mark.parametrize("limits", [{"BLOCK_DOCS": 3}, {"BLOCK_CHARS": 40}, {"COMMON": 5}, {"COMMON_CHARS": 2}])
+def test_tokens_in_blocks(spark, docs, monkeypatch, limits):
+    """Counts depend neither on blocks and stretches nor on which pre-tokens are common."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
+    some = docs.where("length(coalesce(text, '')) < 9999").union(docs.sparkSession.createDataFrame([(2000, "漢字" * 30 + " one\x1ctwo " * 9, *[None] * 7)], SCHEMA))
+    want = Counter(map(tuple, tokens.count_tokens(some, path).collect()))
     for name, value in limits.items():
         monkeypatch.setattr(tokens, name, value)
-    texts = ["one two three four five", "two " + "six" * 40, "", "漢字" * 30, "one two", "six" * 40]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
-    (out,) = tokens._counter(path, 2048)(iter([batch]))
-    assert out.column("n_tokens").to_pylist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert Counter(map(tuple, tokens.count_tokens(some, path).collect())) == want
 
 
 def test_pipeline(spark, tmp_path):
