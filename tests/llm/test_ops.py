@@ -434,7 +434,7 @@ def test_tokens(spark, docs, nothing):
     assert tokens.count_tokens(nothing, path).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"BLOCK_DOCS": 3}, {"BLOCK_CHARS": 40}, {"COMMON": 5}, {"COMMON_CHARS": 2}])
+@pytest.mark.parametrize("limits", [{"BLOCK_DOCS": 3}, {"BLOCK_CHARS": 40}, {"STRETCH": 30, "COMMON_DOCS": 0}, {"REMEMBERED": 5}, {"REMEMBERED_CHARS": 9, "BUCKETS": 1}])
 def test_tokens_in_blocks(spark, docs, monkeypatch, limits):
     """Counts depend neither on blocks and stretches nor on which pre-tokens are common."""
     path = public_tokenizers.path("word_bpe_49k.json")
