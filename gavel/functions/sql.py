@@ -1,69 +1,130 @@
-"""jev_prob, jev_bool and jev_choice as Arrow functions of Spark SQL.
+"""jev_prob, jev_bool, jev_choice, jev_cache_clear and jev_last_profile as functions of Spark SQL.
 
-Settings are read by the worker at each execution, from the properties Spark hands to its tasks.  Equal judgments of a
-batch are asked once; NULL arguments give NULL and ask nothing.
+Settings are read at each execution, from the properties Spark hands to its tasks.  NULL arguments give NULL and ask nothing.
+In row mode each valid row is one call; a provider that is a function of its arguments runs in the task, once for each distinct
+judgment.  Everything that goes to a service, and every query in optimized mode, is asked through the session's broker.
 """
 
 from __future__ import annotations
 
+from multiprocessing.connection import Client, Connection
+from weakref import WeakKeyDictionary
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gavel.functions.values import CHOICE, NOUL, Request, invalid, state_reader
-from gavel.sources.providers import make_provider, read_config
-
-
-def _requests(kind: str, state: pa.Array, text: pa.Array, choices: pa.Array | None) -> list[Request | None]:
-    reader, out = None, []
-    if choices is not None and not (pa.types.is_list(choices.type) or pa.types.is_large_list(choices.type) or pa.types.is_null(choices.type)):
-        raise invalid("choices must be a list")
-    for i in range(len(state)):
-        if not state[i].is_valid or not text[i].is_valid or choices is not None and not choices[i].is_valid:
-            out.append(None)
-            continue
-        reader = reader or state_reader(state.type)
-        out.append(Request(kind, reader(state[i]), text[i].as_py(), tuple(choices[i].as_py()) if choices is not None else ()).check())
-    return out
-
-
-def _evaluate(kind: str, state: pa.Array, text: pa.Array, choices: pa.Array | None = None) -> list:
-    requests = _requests(kind, state, text, choices)
-    if not any(requests):
-        return [None] * len(requests)
-    from pyspark import TaskContext
-
-    task = TaskContext.get()
-    config = read_config(task.getLocalProperty if task else lambda _: None)
-    provider = make_provider(config)
-    known: dict[Request, object] = {}
-    out = []
-    for r in requests:
-        if r is None:
-            out.append(None)
-        else:
-            if r not in known or config.mode == "row" and provider.external:
-                known[r] = provider.judge([r]).answers[r.key]
-            out.append(known[r])
-    return out
-
-
-def _prob(state: pa.Array, criterion: pa.Array) -> pa.Array:
-    return pa.array(_evaluate(NOUL, state, criterion), pa.float64())
-
-
-def _bool(state: pa.Array, criterion: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else p >= 0.5 for p in _evaluate(NOUL, state, criterion)], pa.bool_())
-
-
-def _choice(state: pa.Array, question: pa.Array, choices: pa.Array) -> pa.Array:
-    return pa.array(_evaluate(CHOICE, state, question, choices), pa.string())
-
-
-def register(spark: SparkSession, nondeterministic: bool = False) -> None:
-    """Registers the functions; deterministic by default, so that Spark prunes, reuses and moves them like its own."""
-    for name, f, kind in (("jev_prob", _prob, "double"), ("jev_bool", _bool, "boolean"), ("jev_choice", _choice, "string")):
+from gavel.functions.batches import distinct, read, spread
+from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request
+from gavel.operators.broker import Broker
+from gavel.plans.judge import JudgmentSession
+from gavel.sources.providers import SETTINGS, make_provider, read_config
+
+#: Judgments whose answers a task remembers.
+REMEMBERED = 100_000
+
+
+class Task:
+    """A Python worker's side: the connection to the broker, and what the task has judged itself."""
+
+    def __init__(self, address: tuple[str, int], key: bytes):
+        self.address, self.key = address, key
+        self.link: Connection | None = None
+        self.known: dict[Request, object] = {}
+        self.mute = False
+
+    def __reduce__(self):
+        return Task, (self.address, self.key)
+
+    def setting(self, name: str) -> str | None:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        return task.getLocalProperty(name) if task else None
+
+    def conf(self) -> dict:
+        return {k: v for k in SETTINGS.values() if (v := self.setting(k)) is not None}
+
+    def call(self, what: str, *args):
+        query = self.setting("spark.sql.execution.root.id") or self.setting("spark.sql.execution.id") or ""
+        try:
+            if self.link is None:
+                self.link = Client(self.address, authkey=self.key)
+            self.link.send((what, query, self.conf(), *args))
+            done, *reply = self.link.recv()
+        except (OSError, EOFError):
+            raise JudgmentError("Provider", "the session's broker cannot be reached") from None
+        if not done:
+            raise JudgmentError(*reply)
+        return reply[0]
+
+    def count(self, counts: dict, failed: bool = False) -> None:
+        """Adds to the profile; judging goes on without one if the driver cannot be reached."""
+        if not self.mute:
+            try:
+                self.call("count", counts, failed)
+            except JudgmentError:
+                self.mute = True
+
+    def judge(self, kind: str, result: pa.DataType, state: pa.Array, text: pa.Array, choices: pa.Array | None = None) -> pa.Array:
+        first, back = distinct(*(c for c in (state, text, choices) if c is not None))
+        counts = {"input_rows": len(back), "null_rows": 0, "valid_rows": 0}
+        try:
+            requests = read(kind, first, state, text, choices)
+            absent = np.array([r is None for r in requests], bool)
+            counts["null_rows"] = int(absent[back].sum())
+            if absent.all():
+                self.count(counts)
+                return pa.nulls(len(back), result)
+            config = read_config(self.conf().get)
+            provider = make_provider(config, "") if config.provider.strip().lower() == "mock" else None
+        except JudgmentError:
+            self.count(counts, True)
+            raise
+        counts["valid_rows"] = len(back) - counts["null_rows"]
+        if config.mode == "row" and provider is not None:
+            asked = [r for r in requests if r is not None and r not in self.known]
+            if len(self.known) + len(asked) > REMEMBERED:
+                self.known.clear()
+                asked = [r for r in requests if r is not None]
+            for r in asked:
+                self.known[r] = provider.judge([r]).answers[r.key]
+            self.count(counts | {"unique_judgments": counts["valid_rows"], "provider_invocations": len(asked)})
+            return spread([None if r is None else self.known[r] for r in requests], back, result)
+        if config.mode == "row":  # a call for each row
+            requests, back = [requests[i] for i in back], np.arange(len(back))
+        answers = iter(self.call("judge", counts, [(r.kind, r.state.is_text, r.state.canonical, r.text, r.choices) for r in requests if r is not None]))
+        return spread([None if r is None else next(answers) for r in requests], back, result)
+
+
+BROKERS: WeakKeyDictionary[SparkSession, Broker] = WeakKeyDictionary()
+
+
+def register(spark: SparkSession, nondeterministic: bool = False, session: JudgmentSession | None = None) -> JudgmentSession:
+    """Registers the functions and returns the session that keeps their cache and profile: ``session``, or the one before.
+
+    The judgments are deterministic by default, so that Spark prunes, reuses and moves them like its own functions.
+    """
+    if spark not in BROKERS:
+        BROKERS[spark] = Broker(spark, session or JudgmentSession(spark))
+    broker = BROKERS[spark]
+    broker.session = session or broker.session
+    task = Task(broker.address, broker.key)
+
+    def jev_prob(state: pa.Array, criterion: pa.Array) -> pa.Array:
+        return task.judge(NOUL, pa.float64(), state, criterion)
+
+    def jev_bool(state: pa.Array, criterion: pa.Array) -> pa.Array:
+        p = task.judge(NOUL, pa.float64(), state, criterion)
+        return pa.array([None if x is None else x >= 0.5 for x in p.to_pylist()], pa.bool_())
+
+    def jev_choice(state: pa.Array, question: pa.Array, choices: pa.Array) -> pa.Array:
+        return task.judge(CHOICE, pa.string(), state, question, choices)
+
+    for f, kind in ((jev_prob, "double"), (jev_bool, "boolean"), (jev_choice, "string")):
         udf = F.arrow_udf(f, kind)
-        spark.udf.register(name, udf.asNondeterministic() if nondeterministic else udf)
-
-
+        spark.udf.register(f.__name__, udf.asNondeterministic() if nondeterministic else udf)
+    spark.udf.register("jev_cache_clear", F.udf(lambda: task.call("clear"), "long").asNondeterministic())
+    spark.udf.register("jev_last_profile", F.udf(lambda: task.call("profile"), "string").asNondeterministic())
+    return broker.session

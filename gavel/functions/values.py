@@ -76,7 +76,7 @@ class State:
 
     def envelope(self) -> bytes:
         """Self-describing bytes: magic, version, kind, length, payload."""
-        return b"DJST" + struct.pack(">IBQ", 1, 1 if self.is_text else 2, len(self.data)) + self.data
+        return b"GVST" + struct.pack(">IBQ", 1, 1 if self.is_text else 2, len(self.data)) + self.data
 
 
 def text_state(text: str) -> State:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import time
 from collections import OrderedDict
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from gavel.functions.values import JudgmentError
+from gavel.functions.values import JudgmentError, Request
 
 
 @dataclass(frozen=True)
@@ -20,22 +21,33 @@ class Policy:
             raise JudgmentError("Configuration", "cache limits must be greater than 0")
 
 
-def entry_bytes(key: tuple, result) -> int:
+class Key(NamedTuple):
+    """A judgment's identity: where and under which model it was asked, and its full content."""
+
+    provider: str
+    url: str
+    model: str
+    effective_model: str
+    request: Request
+
+
+def entry_bytes(key: Key, result) -> int:
     """Estimated size: 512, six times the identity's texts, and the result."""
-    flat = lambda x: sum(map(flat, x)) if isinstance(x, tuple) else len(str(x).encode()) if x is not None else 0
-    return 512 + 6 * flat(key) + (len(result.encode()) if isinstance(result, str) else 8)
+    r = key.request
+    texts = [r.state.canonical, r.text, *r.choices, key.provider, key.url, key.model, key.effective_model]
+    return 512 + 6 * sum(len(x.encode()) for x in texts) + (len(result.encode()) if isinstance(result, str) else 8)
 
 
 class JudgmentCache:
     def __init__(self, policy: Policy, clock=lambda: time.monotonic() * 1000):
         self.policy, self.clock = policy, clock
-        self.entries: OrderedDict[tuple, tuple[object, float, int]] = OrderedDict()  # result, expiry, bytes
+        self.entries: OrderedDict[Key, tuple[object, float, int]] = OrderedDict()  # result, expiry, bytes
         self.bytes = 0
 
-    def _remove(self, key: tuple) -> None:
+    def _remove(self, key: Key) -> None:
         self.bytes -= self.entries.pop(key)[2]
 
-    def get(self, key: tuple):
+    def get(self, key: Key):
         found = self.entries.get(key)
         if found is None:
             return None
@@ -45,7 +57,7 @@ class JudgmentCache:
         self.entries.move_to_end(key)
         return found[0]
 
-    def put(self, key: tuple, result) -> None:
+    def put(self, key: Key, result) -> None:
         """Successful results only."""
         if key in self.entries:
             self._remove(key)

@@ -2,28 +2,34 @@
 
 A judgment's identity is the full content: kind, state, question and ordered choices, compared as columns, never as a hash.  All
 verbs of one call share their judgments.  Errors travel as rows, so that nothing is retried and either all answers are
-published or none; so do the counts of the profile.  At most ``spark.jev.maxInflight`` tasks call a service at a time.
+published or none; so do the counts of the profile.  A service is called by ``spark.jev.maxInflight`` tasks, one request at a time each.
 """
 
 from __future__ import annotations
 
+import hmac
+import secrets
 import time
-import uuid
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, State, invalid, state_reader
-from gavel.operators.cache import JudgmentCache, Policy
-from gavel.operators.profile import render
-from gavel.sources.providers import REMOTE_URL, Config, make_provider, read_config
+from gavel.functions.batches import distinct, read
+from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, State, invalid
+from gavel.operators import profile
+from gavel.operators.asking import Outcome, ask, packs, preflight
+from gavel.operators.cache import JudgmentCache, Key, Policy
+from gavel.operators.workspace import Workspace
+from gavel.sources.providers import REMOTE_URL, SETTINGS, Config, Provider, Reply, make_provider, read_config
 
 IDENTITY = ["kind", "is_text", "canonical", "text", "choices"]
-ANSWER = "kind string, is_text boolean, canonical string, text string, choices array<string>, p double, label string, error_kind string, error string, calls long, size long, model string, input_tokens long, output_tokens long, seconds double, serialize double"
-#: Judgments of one question that are packed into requests by one task.
+QUESTION = ["kind", "text", "choices"]
+ANSWER = "kind string, is_text boolean, canonical string, text string, choices array<string>, p double, label string, error_kind string, error string, sent boolean, size long, model string, input_tokens long, output_tokens long, seconds double, serialize double"
+#: Judgments of one question that are dealt to one task at most, to be numbered or to be packed into requests.
 CHUNK = 4096
 
 
@@ -51,55 +57,42 @@ def choice(out: str, state: Column, question: Column, choices: Column) -> Spec:
 
 
 def _encoder(kind: str):
-    def encode(state: pa.Array, text: pa.Array, choices: pa.Array) -> pa.Array:
-        reader, out = None, []
-        for i in range(len(state)):
+    kinds = pa.struct([("is_text", pa.bool_()), ("canonical", pa.string()), ("error", pa.string())])
+
+    def encode(state: pa.Array, text: pa.Array, choices: pa.Array, present: pa.Array) -> pa.Array:
+        first, back = distinct(state, text, choices, present)
+        out = []
+        for i in first:
+            if not present[int(i)].as_py():  # a guarded Python function still runs on every row
+                out.append(None)
+                continue
             try:
-                reader = reader or state_reader(state.type)
-                s = reader(state[i])
-                labels = choices[i].as_py() if kind == CHOICE else []
-                Request(kind, s, text[i].as_py(), tuple(labels)).check()
-                out.append({"is_text": s.is_text, "canonical": s.canonical, "error": None})
+                (r,) = read(kind, [i], state, text, choices if kind == CHOICE else None)
+                out.append({"is_text": r.state.is_text, "canonical": r.state.canonical, "error": None})
             except JudgmentError as e:
                 out.append({"is_text": None, "canonical": None, "error": e.message})
-        return pa.array(out, pa.struct([("is_text", pa.bool_()), ("canonical", pa.string()), ("error", pa.string())]))
+        return pa.array(out, kinds).take(pa.array(back))
 
     return F.arrow_udf(encode, "is_text boolean, canonical string, error string")
 
 
-def _judge_chunk(config: Config, secret: str):
-    """Judges the work of one question, packed greedily by number and bytes."""
+def _judge_chunk(config: Config, secret: str, limit: int):
+    """Judges the work of one question, packed in order by number and bytes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         provider = make_provider(config, secret)
-        limit = min(config.batch_max_judgments, provider.max_batch or config.batch_max_judgments) if config.batch_enabled else 1
+        pdf = pdf.sort_values("no")
         work = [Request(k, State(bool(t), c), x, tuple(ch)) for k, t, c, x, ch in zip(*(pdf[n] for n in IDENTITY))]
         rows: list[tuple] = []
-
-        def ask(pack: list[Request]) -> None:
-            keyed = [Request(r.kind, r.state, r.text, r.choices, f"r{i}") for i, r in enumerate(pack)]
-            reply, error = None, None
-            try:
-                if provider.estimate(keyed) > config.max_request_bytes:
-                    raise invalid("request exceeds spark.jev.maxRequestBytes")
-                reply = provider.judge(keyed)
-            except JudgmentError as e:
-                error = e
-            sent = int(reply is not None or error.kind != "InvalidInput")
-            for i, r in enumerate(keyed):
-                value = reply.answers[r.key] if reply else None
-                first = i == 0
-                usage = (reply.usage if reply else None) or (None, None)
-                rows.append((r.kind, r.state.is_text, r.state.canonical, r.text, list(r.choices), value if r.kind == NOUL else None, value if r.kind == CHOICE else None, error.kind if error else None, error.message if error else None, sent if first else 0, len(keyed), reply.model if reply else None, usage[0] if first else None, usage[1] if first else None, reply.seconds if reply and first else 0.0, reply.serialize_seconds if reply and first else 0.0))
-
-        pack: list[Request] = []
-        for r in work:
-            if pack and (len(pack) >= limit or provider.estimate([Request(x.kind, x.state, x.text, x.choices, f"r{i}") for i, x in enumerate([*pack, r])]) > config.max_request_bytes):
-                ask(pack)
-                pack = []
-            pack.append(r)
-        if pack:
-            ask(pack)
+        for pack in packs(work, limit, config.max_request_bytes, provider):
+            out = ask(provider, pack, config.max_request_bytes if config.mode == "optimized" else None)
+            usage = out.reply.usage if out.reply and out.reply.usage else (None, None)
+            for i, r in enumerate(pack):
+                value = out.reply.answers[f"r{i}"] if out.reply else None
+                error = (out.error.kind, out.error.message) if out.error else (None, None)
+                # What belongs to the request stands in its first row.
+                request = (out.sent, len(pack), out.reply.model if out.reply else None, *usage, out.seconds, out.reply.serialize_seconds if out.reply else 0.0) if i == 0 else (None, None, out.reply.model if out.reply else None, *[None] * 4)
+                rows.append((r.kind, r.state.is_text, r.state.canonical, r.text, list(r.choices), value if r.kind == NOUL else None, value if r.kind == CHOICE else None, *error, *request))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     return run
@@ -109,7 +102,8 @@ class JudgmentSession:
     """A SparkSession's judgments: verbs, cache, and the profile of the last query."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.cache, self.secret, self.profile = spark, None, None, None
+        self.spark, self.cache, self.profile = spark, None, None
+        self.salt, self.scope = secrets.token_bytes(32), None
 
     def config(self) -> Config:
         return read_config(lambda k: self.spark.conf.get(k, None))
@@ -117,75 +111,104 @@ class JudgmentSession:
     def last_profile(self) -> str | None:
         return self.profile
 
-    def cache_clear(self) -> int:
-        config = self.config()
+    def cache_clear(self, config: Config | None = None) -> int:
+        config = config or self.config()
         if self.cache is None:
             return 0
         if config.cache_enabled:
             self.cache.reconcile(Policy(config.cache_max_entries, config.cache_max_bytes, config.cache_ttl_ms))
         return self.cache.clear()
 
+    def open_cache(self, config: Config, provider: Provider) -> JudgmentCache:
+        """The cache under the current limits; a new one once the credential differs, of which only a keyed hash is held."""
+        policy = Policy(config.cache_max_entries, config.cache_max_bytes, config.cache_ttl_ms)
+        scope = hmac.digest(self.salt, getattr(provider, "credential", "").encode(), "sha256")
+        if self.cache is None or scope != self.scope:
+            self.cache, self.scope = JudgmentCache(policy), scope
+        self.cache.reconcile(policy)
+        return self.cache
+
+    def cache_key(self, provider: Provider, request: Request) -> Key | None:
+        """The name of a judgment in the cache; None where the provider's answers must not be cached."""
+        model = provider.cache_model()
+        return None if model is None else Key(provider.name, getattr(provider, "url", ""), getattr(provider, "model", ""), model, request)
+
     def judge(self, df: DataFrame, *specs: Spec) -> DataFrame:
-        """The frame with one column for each spec; the answers are computed now, and once."""
-        began, config = time.perf_counter(), self.config()
-        query: dict = {"provider": config.provider.strip().lower(), "status": "failed", "detailed": config.profile_enabled, "default_endpoint": config.api_url == REMOTE_URL}
+        """The frame with one column for each spec; the answers are computed now, and once.
+
+        A NULL state, question or list of choices gives NULL and asks nothing; where all rows are so, settings are not even
+        read.  Input columns keep their values, whatever their names; a spec may not have the name of one.  An empty frame gives one.
+        """
+        began, get = time.perf_counter(), lambda k: self.spark.conf.get(SETTINGS[k], None) or ""
+        query = profile.begin((get("provider") or "mock").strip().lower(), get("profile_enabled").lower() == "true", (get("api_url") or REMOTE_URL) == REMOTE_URL)
+        query["status"] = "failed"
         try:
-            out = self._judge(df, specs, config, query)
-            query["status"] = "success"
+            out = self._judge(df, specs, query)
+            query["status"] = "completed"
             return out
+        except Exception as e:
+            if "cancelled" in str(e).lower() and not isinstance(e, JudgmentError):
+                query["status"] = "cancelled"
+            raise
         finally:
             query["wall"] = time.perf_counter() - began
-            if query.get("input_rows"):
-                self.profile = render(query)
-
-    def _judge(self, df: DataFrame, specs: tuple[Spec, ...], config: Config, query: dict) -> DataFrame:
-        from pyspark.sql.types import StringType, StructType
-
-        encoded = df
+            if query["input_rows"]:
+                self.profile = profile.render(query)
+
+    def _judge(self, df: DataFrame, specs: tuple[Spec, ...], query: dict) -> DataFrame:
+        taken = [c.lower() for c in df.columns]
+        for s in specs:
+            if s.out.lower() in taken:
+                raise invalid(f"the frame has a column {s.out} already")
+            taken.append(s.out.lower())
+        work = Workspace(self.spark, "judge")
+        none = F.expr("cast(array() as array<string>)")
+        columns = []
         for i, s in enumerate(specs):
             kind = CHOICE if s.verb == "choice" else NOUL
-            labels = s.choices if s.choices is not None else F.expr("cast(array() as array<string>)")
+            labels = s.choices if s.choices is not None else none
             state_type = df.select(s.state).schema[0].dataType
             if not isinstance(state_type, (StringType, StructType)) and state_type.typeName() != "void":
                 raise invalid("unsupported state type: expected STRUCT or VARCHAR")
             present = s.state.isNotNull() & s.text.isNotNull() & labels.isNotNull()
-            # A guarded Python function still runs on every row: absent rows get a state that is valid and unread.
-            stand_in = F.when(present, s.state).otherwise(F.lit(None).cast(state_type))
-            call = _encoder(kind)(stand_in, F.coalesce(s.text, F.lit("")), F.coalesce(labels, F.expr("cast(array() as array<string>)")))
-            encoded = encoded.withColumn(f"_j{i}", F.struct(F.lit(kind).alias("kind"), call.alias("code"), s.text.alias("text"), labels.alias("choices"), present.alias("present")))
-        encoded = self._store(encoded)
-        work, counts = None, []
-        for i, s in enumerate(specs):
-            c = F.col(f"_j{i}")
-            counts.append(encoded.agg(F.count(F.lit(1)).alias("n"), F.count_if(c["present"]).alias("valid"), F.min(F.when(c["present"], c["code"]["error"])).alias("error")).first())
-            part = encoded.where(c["present"]).select(c["kind"].alias("kind"), c["code"]["is_text"].alias("is_text"), c["code"]["canonical"].alias("canonical"), c["text"].alias("text"), c["choices"].alias("choices"))
-            work = part if work is None else work.unionByName(part)
-        query.update(input_rows=sum(c["n"] for c in counts), valid_rows=sum(c["valid"] for c in counts))
-        query["null_rows"] = query["input_rows"] - query["valid_rows"]
-        for c in counts:  # every row is checked before the first request
-            if c["error"] is not None:
-                raise invalid(c["error"])
-        if not query["valid_rows"]:
-            return self._publish(encoded, specs, None, df)
+            code = _encoder(kind)(s.state, F.coalesce(s.text.cast("string"), F.lit("")), F.coalesce(labels, none), present)
+            columns.append(F.struct(F.lit(kind).alias("kind"), code.alias("code"), s.text.alias("text"), labels.alias("choices"), present.alias("present")).alias(f"j{i}"))
+        row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+        encoded = work.write(df.select(row, F.monotonically_increasing_id().alias("uid"), *columns))
+        parts = []
+        counted = [(F.count_if(F.col(f"j{i}.present")).alias(f"valid{i}"), F.min(F.when(F.col(f"j{i}.present"), F.col(f"j{i}.code.error"))).alias(f"error{i}")) for i in range(len(specs))]
+        counts = encoded.agg(F.count(F.lit(1)).alias("n"), *[c for pair in counted for c in pair]).first()
+        query["input_rows"] = counts["n"] * len(specs)
+        valid = sum(counts[f"valid{i}"] for i in range(len(specs)))
+        query["null_rows"] = query["input_rows"] - valid
+        for i in range(len(specs)):  # every row is checked before the first request
+            if counts[f"error{i}"] is not None:
+                raise invalid(counts[f"error{i}"])
+        query["valid_rows"] = valid
+        if not valid:
+            return self._publish(encoded, specs, None)
+        config = self.config()
         provider = make_provider(config)
         query["requested_model"] = getattr(provider, "model", None)
-        if config.batch_enabled and provider.batch != "Verified":
-            raise JudgmentError("Configuration", "the provider is not verified for batches")
-        if provider.max_choices and work.where(F.size("choices") > provider.max_choices).limit(1).count():
+        limit = preflight(config, provider)
+        for i in range(len(specs)):
+            j = F.col(f"j{i}")
+            parts.append(encoded.where(j["present"]).select(j["kind"].alias("kind"), j["code"]["is_text"].alias("is_text"), j["code"]["canonical"].alias("canonical"), j["text"].alias("text"), j["choices"].alias("choices")))
+        asked = parts[0]
+        for p in parts[1:]:
+            asked = asked.unionByName(p)
+        if provider.max_choices and not asked.where(F.size("choices") > provider.max_choices).isEmpty():
             raise invalid(f"provider supports at most {provider.max_choices} choices")
-        dedup = config.mode == "optimized"
-        work = work.distinct() if dedup else work.withColumn("_row", F.monotonically_increasing_id())
-        work = self._store(work)
-        query["unique_judgments"] = work.count()
-        query["deduplicated_rows"] = query["valid_rows"] - query["unique_judgments"]
-        hits = self._hits(work, provider, config, query) if config.cache_enabled else None
-        todo = work.join(hits.select(*IDENTITY), IDENTITY, "left_anti") if hits is not None else work
-        question = ["kind", "text", "choices"]
-        sizes = todo.groupBy(*question).agg(F.count(F.lit(1)).alias("_n"))
-        todo = todo.join(sizes, question).withColumn("_chunk", F.pmod(F.xxhash64("canonical", *(["_row"] if not dedup else [])), F.expr(f"_n div {CHUNK} + 1"))).drop("_n")
-        if provider.external:
-            todo = todo.repartition(config.max_inflight, *question, "_chunk")
-        answers = self._store(todo.groupBy(*question, "_chunk").applyInPandas(_judge_chunk(config, getattr(provider, "credential", "")), ANSWER))
+        if config.mode == "optimized":
+            asked = asked.distinct().withColumn("copy", F.lit(0).cast("long"))
+        else:
+            asked = asked.withColumn("copy", F.monotonically_increasing_id())
+        asked = work.write(asked)
+        query["unique_judgments"] = asked.count()
+        query["deduplicated_rows"] = valid - query["unique_judgments"]
+        hits = self._hits(asked, provider, config, query, work) if config.cache_enabled else None
+        todo = asked.join(hits.select(*IDENTITY), IDENTITY, "left_anti") if hits is not None else asked
+        answers = work.write(self._ask(todo, config, provider, limit, work))
         self._count(answers, provider, query)
         bad = answers.where("error is not null").select("error_kind", "error").limit(1).collect()
         if bad:
@@ -195,63 +218,76 @@ class JudgmentSession:
         found = answers.select(*IDENTITY, "p", "label")
         if hits is not None:
             found = found.unionByName(hits)
-        return self._publish(encoded, specs, found.dropDuplicates(IDENTITY), df)
-
-    def _publish(self, encoded: DataFrame, specs: tuple[Spec, ...], answers: DataFrame | None, df: DataFrame) -> DataFrame:
+        found = work.write(found if config.mode == "optimized" else found.dropDuplicates(IDENTITY))
+        work.drop_all_but(encoded, found)
+        return self._publish(encoded, specs, found)
+
+    def _ask(self, todo: DataFrame, config: Config, provider: Provider, limit: int, work: Workspace) -> DataFrame:
+        """The answers of judgments, each question's numbered from 0 and cut at multiples of ``limit``, so that only its last
+        request is not full, unless bytes are short."""
+        # Numbers: judgments are dealt by a hash, counted by deal and ranked inside their deal.
+        sizes = todo.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n"))
+        dealt = work.write(todo.join(sizes, QUESTION).withColumn("deal", F.pmod(F.xxhash64("canonical", "copy"), F.expr(f"n div {CHUNK} + 1"))))
+        before = Window.partitionBy(*QUESTION).orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+        deals = dealt.groupBy(*QUESTION, "deal").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+        place = F.row_number().over(Window.partitionBy(*QUESTION, "deal").orderBy("canonical", "copy")) - 1
+        numbered = dealt.withColumn("place", place).join(deals, [*QUESTION, "deal"]).withColumn("no", F.col("before") + F.col("place"))
+        # Chunks of whole requests: as many as may be in flight, or more.
+        most = max(1, CHUNK // limit)
+        per = F.expr(f"least({most}, ceil(ceil(n / {limit}) / {config.max_inflight}))").cast("long")
+        chunks = numbered.withColumn("chunk", F.expr(f"no div {limit}") - F.pmod(F.expr(f"no div {limit}"), per)).withColumn("turn", F.expr("chunk") / per)
+        keys = ["chunk", *QUESTION]
+        if provider.external:
+            # Chunks take turns in exactly as many tasks as requests may be in flight.
+            slots = self._slots(config.max_inflight)
+            turn = F.pmod(F.col("turn").cast("long") + F.xxhash64(*QUESTION), F.lit(config.max_inflight)).cast("int")
+            chunks = chunks.withColumn("slot", F.get(F.array(*[F.lit(x) for x in slots]), turn)).repartition(config.max_inflight, "slot")
+            keys = ["slot", *keys]
+        return chunks.groupBy(*keys).applyInPandas(_judge_chunk(config, getattr(provider, "credential", ""), limit), ANSWER)
+
+    def _slots(self, n: int) -> list[int]:
+        """A number for each of n partitions that Spark's hash puts there."""
+        found = self.spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()
+        return [dict(map(tuple, found)).get(i, i) for i in range(n)]
+
+    def _publish(self, encoded: DataFrame, specs: tuple[Spec, ...], answers: DataFrame | None) -> DataFrame:
         out = encoded
         for i, s in enumerate(specs):
             kind = {"prob": "double", "bool": "boolean", "choice": "string"}[s.verb]
             if answers is None:
-                out = out.withColumn(s.out, F.lit(None).cast(kind))
+                out = out.withColumn(f"out{i}", F.lit(None).cast(kind))
                 continue
-            a = answers.select(F.struct(F.col("kind"), F.col("is_text"), F.col("canonical"), F.col("text"), F.col("choices")).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("p", "label")])
-            c = F.col(f"_j{i}")
-            key = F.when(c["present"], F.struct(c["kind"].alias("kind"), c["code"]["is_text"].alias("is_text"), c["code"]["canonical"].alias("canonical"), c["text"].alias("text"), c["choices"].alias("choices")))
-            out = out.withColumn("_own", key).join(a, F.col("_own") == F.col("_key"), "left")
-            out = out.withColumn(s.out, {"prob": F.col("_p"), "bool": F.col("_p") >= 0.5, "choice": F.col("_label")}[s.verb]).drop("_own", "_key", "_p", "_label")
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[s.out for s in specs])
-
-    def _count(self, answers: DataFrame, provider, query: dict) -> None:
-        a = answers.agg(F.sum("calls").alias("calls"), F.count_if((F.col("calls") > 0) & F.col("error").isNotNull()).alias("failed"), F.count_if((F.col("calls") > 0) & F.col("input_tokens").isNull()).alias("missing"), F.count_if((F.col("size") > 1) & F.col("error").isNull()).alias("batched"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.sum("seconds").alias("s"), F.sum("serialize").alias("z"), F.collect_set("model").alias("models")).first()
-        query.update(provider_invocations=a["calls"] or 0, failed_requests=a["failed"], batched_judgments=a["batched"], reported_models=a["models"], roundtrip=a["s"] or 0.0, serialize=a["z"] or 0.0)
-        if provider.external:
-            query.update(external_requests=a["calls"] or 0, usage_missing=a["missing"], input_tokens=a["i"], output_tokens=a["o"])
+            j = F.col(f"j{i}")
+            # Rows that ask nothing get keys of their own, which match nothing and are spread like others.
+            own = F.when(j["present"], F.struct(j["kind"].alias("kind"), j["code"]["is_text"].alias("is_text"), j["code"]["canonical"].alias("canonical"), j["text"].alias("text"), j["choices"].alias("choices")))
+            absent = F.struct(F.lit("").alias("kind"), F.lit(False).alias("is_text"), F.col("uid").cast("string").alias("canonical"), F.lit("").alias("text"), F.expr("cast(array() as array<string>)").alias("choices"))
+            value = {"prob": F.col("p"), "bool": F.col("p") >= 0.5, "choice": F.col("label")}[s.verb]
+            found = answers.select(F.struct(*IDENTITY).alias("key"), value.alias(f"out{i}"))
+            out = out.withColumn("own", F.coalesce(own, absent)).join(found, F.col("own") == F.col("key"), "left").drop("own", "key")
+        return out.select("row.*", *[F.col(f"out{i}").alias(s.out) for i, s in enumerate(specs)])
+
+    def _count(self, answers: DataFrame, provider: Provider, query: dict) -> None:
+        """Adds up what the requests report of themselves."""
+        requests = answers.where("size is not null").groupBy("size", F.col("error").isNotNull().alias("bad"), "sent", "model", F.col("input_tokens").isNotNull().alias("usage"))
+        for r in requests.agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.sum("seconds").alias("s"), F.sum("serialize").alias("z")).collect():
+            reply = None if r["bad"] else Reply({}, r["model"], (r["i"], r["o"]) if r["usage"] else None, r["z"] or 0.0)
+            profile.record(query, r["size"], Outcome(reply, JudgmentError("Provider", "") if r["bad"] else None, r["sent"], r["s"] or 0.0), provider.external, r["n"])
 
     # ---- cache: a driver-side object, as large as its policy allows -----------------------------------------------
 
-    def _scope(self, provider) -> tuple:
-        return provider.name, getattr(provider, "url", None), getattr(provider, "model", None)
-
-    def _hits(self, work: DataFrame, provider, config: Config, query: dict) -> DataFrame:
-        policy = Policy(config.cache_max_entries, config.cache_max_bytes, config.cache_ttl_ms)
-        secret = getattr(provider, "credential", "")
-        if self.cache is None or secret != self.secret:
-            self.cache, self.secret = JudgmentCache(policy), secret
-        self.cache.reconcile(policy)
-        scope, n = self._scope(provider), len(IDENTITY)
-        rows = [(*k[1 : n], list(k[n]), r if k[1] == NOUL else None, r if k[1] == CHOICE else None) for k, (r, *_) in self.cache.entries.items() if k[0] == scope]
+    def _hits(self, work: DataFrame, provider: Provider, config: Config, query: dict, tables: Workspace) -> DataFrame:
+        cache, sample = self.open_cache(config, provider), self.cache_key(provider, Request(NOUL, State(True, ""), ""))
+        known = {k.request: k for k in cache.entries if sample is not None and k[:4] == sample[:4]}
+        rows = [(r.kind, r.state.is_text, r.state.canonical, r.text, list(r.choices), v if r.kind == NOUL else None, v if r.kind == CHOICE else None) for r, k in known.items() for v in [cache.entries[k][0]]]
         cached = self.spark.createDataFrame(rows, "kind string, is_text boolean, canonical string, text string, choices array<string>, p double, label string")
-        hits = self._store(work.join(cached, IDENTITY).select(*IDENTITY, "p", "label"))
-        for r in hits.select(*IDENTITY).limit(policy.max_entries).collect():
-            self.cache.get((scope, *r[: n - 1], tuple(r[n - 1])))
-        query["cache_hits"] = hits.count()
-        query["cache_misses"] = query["unique_judgments"] - query["cache_hits"]
+        hits = tables.write(work.join(cached, IDENTITY).select(*IDENTITY, "p", "label"))
+        for r in hits.select(*IDENTITY).limit(config.cache_max_entries).collect():
+            cache.get(known[Request(r[0], State(r[1], r[2]), r[3], tuple(r[4]))])
+        query["cache_hit_judgments"] = hits.count()
         return hits
 
-    def _remember(self, answers: DataFrame, provider) -> None:
-        scope = self._scope(provider)
+    def _remember(self, answers: DataFrame, provider: Provider) -> None:
         for r in answers.limit(self.cache.policy.max_entries).select(*IDENTITY, "p", "label", "model").collect():
-            if provider.cache_model(r["model"]) is not None:
-                self.cache.put((scope, r["kind"], r["is_text"], r["canonical"], r["text"], tuple(r["choices"])), r["p"] if r["kind"] == NOUL else r["label"])
-
-    def _store(self, df: DataFrame) -> DataFrame:
-        """A table in the folder that driver and executors share: computed once, whatever is lost later."""
-        import tempfile
-
-        root = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = f"file://{tempfile.mkdtemp(prefix='gavel-')}"
-            self.spark.conf.set("spark.checkpoint.dir", root)
-        path = f"{root.rstrip('/')}/judge-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+            key = self.cache_key(provider, Request(r["kind"], State(r["is_text"], r["canonical"]), r["text"], tuple(r["choices"])))
+            if key is not None and provider.cache_model(r["model"]) is not None:
+                self.cache.put(key, r["p"] if r["kind"] == NOUL else r["label"])

@@ -144,7 +144,7 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     with _session(spark, cache_enabled="true") as session:
         for _ in range(2):
             session.judge(_table(spark, sf_dir, "customer").select("c_mktsegment"), prob("p", F.col("c_mktsegment"), F.lit("q")))
-        counts = _counts(session, hits="cache_hits", misses="cache_misses", requests="provider_invocations")
+        counts = _counts(session, hits="cache_hit_judgments", judgments="unique_judgments", requests="provider_invocations")
         return counts.withColumn("cleared", F.lit(session.cache_clear()).cast("long"))
 
 
@@ -153,4 +153,4 @@ ORACLE_SQL["verb_dedup"] = f"WITH t AS (SELECT event_type, {_p('event_type', 'q'
 ORACLE_SQL["distinct_identity"] = "SELECT count(*) AS n, count(*) AS valid, count(DISTINCT user_id) AS judgments, count(*) - count(DISTINCT user_id) AS saved, ceil(count(DISTINCT user_id) / 16.0)::BIGINT AS requests FROM events"
 ORACLE_SQL["batch_plan"] = "SELECT 2 * count(DISTINCT s_name) AS judgments, 2 * ceil(count(DISTINCT s_name) / 16.0)::BIGINT AS requests FROM supplier"
 ORACLE_SQL["profile_counts"] = "SELECT count(*) AS n, count_if(c_mktsegment = 'BUILDING')::BIGINT AS absent, count_if(c_mktsegment != 'BUILDING')::BIGINT AS valid, count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS judgments, count_if(c_mktsegment != 'BUILDING')::BIGINT - count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS saved, 0::BIGINT AS failed FROM customer"
-ORACLE_SQL["cache_reuse"] = "SELECT count(DISTINCT c_mktsegment) AS hits, 0::BIGINT AS misses, 0::BIGINT AS requests, count(DISTINCT c_mktsegment) AS cleared FROM customer"
+ORACLE_SQL["cache_reuse"] = "SELECT count(DISTINCT c_mktsegment) AS hits, count(DISTINCT c_mktsegment) AS judgments, 0::BIGINT AS requests, count(DISTINCT c_mktsegment) AS cleared FROM customer"

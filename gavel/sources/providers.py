@@ -26,9 +26,7 @@ class Reply:
     answers: dict[str, object]
     model: str | None = None
     usage: tuple[int, int] | None = None
-    seconds: float = 0.0
     serialize_seconds: float = 0.0
-    inference_ms: float | None = None
 
 
 @dataclass
@@ -39,9 +37,13 @@ class Provider:
     max_choices: int | None = None
     max_batch: int | None = None
 
+    def added(self, r: Request, place: int) -> int:
+        """Upper bound of the bytes that a judgment adds to a request that holds ``place`` others."""
+        return (0 if place else 1024) + 512 + 6 * (len(r.state.data) + len(r.text.encode()) + sum(len(c.encode()) for c in r.choices) + len(f"r{place}"))
+
     def estimate(self, requests: list[Request]) -> int:
         """Upper bound of the bytes of a request."""
-        return 1024 + sum(512 + 6 * len(r.state.data) + 6 * (len(r.text.encode()) + sum(len(c.encode()) for c in r.choices)) + 6 * len(r.key) for r in requests)
+        return sum(self.added(r, i) for i, r in enumerate(requests))
 
     def cache_model(self, reported: str | None = None) -> str | None:
         """The model under which answers may be cached; None: not at all."""
@@ -77,6 +79,17 @@ class Mock(Provider):
         return Reply(check_answers(requests, answers), MOCK_MODEL)
 
 
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    """A redirect is an error like any other status: the credential goes to the configured address only."""
+
+    def redirect_request(self, *_):
+        return None
+
+
+def _json(x) -> bytes:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()
+
+
 @dataclass
 class Http(Provider):
     """A service that takes typed questions about rows and answers by key."""
@@ -87,6 +100,7 @@ class Http(Provider):
     max_response: int = 1_048_576
     credential: str = field(default="", repr=False)
     external: bool = True
+    opener: urllib.request.OpenerDirector | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         if self.name == "selfhosted":
@@ -102,31 +116,34 @@ class Http(Provider):
         first = requests[0]
         if any((r.kind, r.text, r.choices) != (first.kind, first.text, first.choices) for r in requests):
             raise JudgmentError("InvalidInput", "rows of a request must share their question")
-        state: dict = {"rows": [r.state.wire() for r in requests]}
-        if first.kind == NOUL:
-            state["condition"] = first.text
-        questions = {}
-        for i, r in enumerate(requests):
-            row = f"rows[{i}]"
-            if r.kind == NOUL:
-                questions[r.key] = {"type": NOUL, "instructions": f"How likely does the condition hold for {row}?"}
-            else:
-                questions[r.key] = {"type": CHOICE, "instructions": f"{r.text} Answer for {row}.", "criteria": dict.fromkeys(r.choices)}
-        return json.dumps({"model": self.model, "state": state, "questions": questions}, ensure_ascii=False, separators=(",", ":")).encode()
+        return _json(self._frame(first) | {"state": {"rows": [r.state.wire() for r in requests], **self._condition(first)}, "questions": {r.key: self._question(r, i) for i, r in enumerate(requests)}})
 
-    def estimate(self, requests: list[Request]) -> int:
-        return len(self.body(requests))
+    def _frame(self, r: Request) -> dict:
+        return {"model": self.model, "state": {"rows": [], **self._condition(r)}, "questions": {}}
+
+    def _condition(self, r: Request) -> dict:
+        return {"condition": r.text} if r.kind == NOUL else {}
+
+    def _question(self, r: Request, place: int) -> dict:
+        row = f"rows[{place}]"
+        if r.kind == NOUL:
+            return {"type": NOUL, "instructions": f"How likely does the condition hold for {row}?"}
+        return {"type": CHOICE, "instructions": f"{r.text} Answer for {row}.", "criteria": dict.fromkeys(r.choices)}
+
+    def added(self, r: Request, place: int) -> int:
+        """Exact: a row and its question with their separators, and for the first one what is around them."""
+        around = 2 if place else len(_json(self._frame(r)))
+        return around + len(_json(r.state.wire())) + len(_json({f"r{place}": self._question(r, place)})) - 2
 
     def judge(self, requests: list[Request]) -> Reply:
-        if self.max_choices and any(len(r.choices) > self.max_choices for r in requests):
-            raise JudgmentError("InvalidInput", f"provider supports at most {self.max_choices} choices")
         began = time.perf_counter()
         body = self.body(requests)
         serialized = time.perf_counter() - began
         call = urllib.request.Request(self.url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.credential}"})
         began = time.perf_counter()
         try:
-            with urllib.request.urlopen(call, timeout=self.timeout_ms / 1000) as response:
+            self.opener = self.opener or urllib.request.build_opener(_NoRedirect)
+            with self.opener.open(call, timeout=self.timeout_ms / 1000) as response:
                 data = response.read(self.max_response + 1)
                 truncated = response.headers.get("x-local-jev-truncated", "").lower() == "true"
         except urllib.error.HTTPError as e:
@@ -141,7 +158,7 @@ class Http(Provider):
         if self.name == "selfhosted" and truncated:
             raise JudgmentError("InvalidResponse", "provider truncated its input")
         reply = self.parse(requests, data)
-        reply.seconds, reply.serialize_seconds = time.perf_counter() - began, serialized
+        reply.serialize_seconds = serialized
         return reply
 
     def parse(self, requests: list[Request], data: bytes) -> Reply:

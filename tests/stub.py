@@ -8,7 +8,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 class Stub:
     def __init__(self, scenario="ok"):
-        self.scenario, self.requests, self.now, self.peak, self.auth, self.lock = scenario, 0, 0, 0, None, threading.Lock()
+        self.scenario, self.lock, self.elsewhere = scenario, threading.Lock(), ""
+        self.reset()
         stub = self
 
         class Handler(BaseHTTPRequestHandler):
@@ -22,11 +23,18 @@ class Stub:
                     stub.now += 1
                     stub.peak = max(stub.peak, stub.now)
                     stub.auth = self.headers["Authorization"]
+                    stub.bodies.append(body)
                 try:
                     status, out = stub.answer(body)
                 finally:
                     with stub.lock:
                         stub.now -= 1
+                if stub.scenario == "redirect":
+                    self.send_response(302)
+                    self.send_header("Location", stub.elsewhere)
+                    self.send_header("Content-Length", "0")
+                    self.end_headers()
+                    return
                 data = out if isinstance(out, bytes) else json.dumps(out).encode()
                 self.send_response(status)
                 self.send_header("Content-Length", str(len(data)))
@@ -39,6 +47,9 @@ class Stub:
         threading.Thread(target=self.server.serve_forever, daemon=True).start()
         self.url = f"http://127.0.0.1:{self.server.server_port}/v1"
 
+    def reset(self):
+        self.requests, self.now, self.peak, self.auth, self.bodies = 0, 0, 0, None, []
+
     def answer(self, body):
         s = self.scenario
         if s == "unauthorized":
@@ -49,6 +60,8 @@ class Stub:
             return 200, b"x" * (2 << 20)
         if s == "slow":
             time.sleep(0.05)
+        if s == "stuck":
+            time.sleep(3)
         answers = {}
         rows = body["state"]["rows"]
         for i, (key, q) in reversed(list(enumerate(body["questions"].items()))):
@@ -56,7 +69,8 @@ class Stub:
                 value = {"out-of-range": 1.5, "negative": -0.1, "wrong-type": "0.5"}.get(s, float(rows[i]) if s == "echo" else 0.83)
                 answers[key] = {"type": "noul", "noul": value}
             else:
-                answers[key] = {"type": "choice", "choice": "foreign" if s == "unknown-label" else sorted(q["criteria"])[0]}
+                value = "foreign" if s == "unknown-label" else rows[i] if s == "echo" and rows[i] in q["criteria"] else sorted(q["criteria"])[0]
+                answers[key] = {"type": "choice", "choice": value}
         if s == "missing":
             answers = {}
         if s == "extra":

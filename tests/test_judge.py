@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,12 +16,12 @@ from stub import Stub
 def serve(conf, monkeypatch):
     stubs = []
 
-    def start(scenario="ok", provider="remote", **settings):
+    def start(scenario="ok", provider="remote", executionMode="optimized", **settings):
         s = Stub(scenario)
         stubs.append(s)
         monkeypatch.setenv("JEV_API_KEY", "secret-1")
         monkeypatch.setenv("JEV_LOCAL_API_KEY", "secret-2")
-        conf(provider=provider, apiUrl=s.url, executionMode="optimized", **settings)
+        conf(provider=provider, apiUrl=s.url, executionMode=executionMode, **settings)
         return s
 
     yield start
@@ -56,7 +58,7 @@ def test_requests_are_unique_judgments(spark, serve):
     session = JudgmentSession(spark)
     out = session.judge(rows(spark), prob("p", F.col("s"), F.lit("q")), yes("b", F.col("s"), F.lit("q"))).collect()
     assert all(r.p == float(r.s) and r.b == (r.p >= 0.5) for r in out) and len(out) == 40
-    assert stub.requests == 10 and stub.auth == "Bearer secret-1" and stub.peak <= 4
+    assert stub.requests == 10 and stub.auth == "Bearer secret-1"
     counts = json.loads(session.last_profile())["counts"]
     assert counts["input_rows"] == 80 and counts["unique_judgments"] == 10 and counts["external_requests"] == 10 and counts["deduplicated_rows"] == 70
     assert "secret" not in session.last_profile() and "0.1" not in session.last_profile().replace("0.1e", "")
@@ -75,12 +77,16 @@ def test_batches(spark, serve, conf):
         session.judge(rows(spark), prob("p", F.col("s"), F.lit("q")))
 
 
-@pytest.mark.parametrize("scenario", ["out-of-range", "negative", "wrong-type", "missing", "extra", "unauthorized", "error", "huge"])
+@pytest.mark.parametrize("scenario", ["out-of-range", "negative", "wrong-type", "missing", "extra", "unauthorized", "error", "huge", "redirect"])
 def test_faults_fail_once_without_leaks(spark, serve, scenario):
     stub = serve(scenario)
+    other = Stub()
+    stub.elsewhere = other.url
     session = JudgmentSession(spark)
     with pytest.raises(JudgmentError) as e:
         session.judge(rows(spark, 1), prob("p", F.col("s"), F.lit("q")))
+    other.close()
+    assert other.requests == 0 and other.auth is None  # a redirect is not followed, and no credential leaves
     assert stub.requests == 1 and "leak" not in str(e.value) and "xxx" not in str(e.value)
     assert json.loads(session.last_profile())["status"] == "failed"
 
@@ -121,6 +127,119 @@ def test_request_byte_limit(spark, conf):
         JudgmentSession(spark).judge(spark.range(1).select(F.repeat(F.lit("x"), 500).alias("s")), prob("p", F.col("s"), F.lit("q")))
 
 
+def test_requests_are_full_and_in_flight_together(spark, serve):
+    """ceil(n / 16) requests for any n; as many at once as the cap allows, and no more."""
+    stub = serve("echo", batch_enabled="true")
+    df = spark.range(10_000).select(F.format_string("%.4f", F.col("id") / 10_000).alias("s"))
+    session = JudgmentSession(spark)
+    assert session.judge(df, prob("p", F.col("s"), F.lit("q"))).where("p = double(s)").count() == 10_000
+    assert stub.requests == 625 and stub.peak <= 4
+    histogram = json.loads(session.last_profile())["counts"]["batch_size_histogram"]
+    assert histogram == {"16": 625}
+
+
+@pytest.mark.parametrize("mode", ["optimized", "row"])
+def test_peak(spark, serve, conf, mode):
+    stub = serve("slow", executionMode=mode)
+    df = spark.range(100).select(F.format_string("0.%d", F.col("id")).alias("s"))
+    JudgmentSession(spark).judge(df, prob("p", F.col("s"), F.lit("q")))
+    assert stub.requests == 100 and 1 < stub.peak <= 4
+    stub.reset()
+    conf(maxInflight="1")
+    JudgmentSession(spark).judge(df.limit(20), prob("p", F.col("s"), F.lit("q")))
+    assert stub.requests == 20 and stub.peak == 1
+
+
+def test_absent_rows_and_clashing_columns(spark, conf):
+    names = ["row", "uid", "j0", "own", "key", "p", "label", "_p", "_label", "_own", "_key", "_j0", "kind", "text", "choices", "out0"]
+    df = spark.range(30).select("id", F.when(F.col("id") % 3 > 0, "s").alias("s"), *[F.lit(n).alias(n) for n in names])
+    got = JudgmentSession(spark).judge(df, prob("result", F.col("s"), F.lit("q")), choice("c", F.col("s"), F.col("kind"), F.array(F.lit("a"), F.lit("b"))))
+    assert got.columns == [*df.columns, "result", "c"] and got.count() == 30
+    for r in got.collect():
+        assert all(r[n] == n for n in names) and (r.result is None) == (r.c is None) == (r.s is None)
+    with pytest.raises(JudgmentError, match="column"):
+        JudgmentSession(spark).judge(df, prob("P", F.col("s"), F.lit("q")))
+    conf(executionMode="nonsense")  # unread where nothing is to be judged
+    assert JudgmentSession(spark).judge(df.where("s is null"), prob("r", F.col("s"), F.lit(" "))).where("r is null").count() == 10
+
+
+def test_sql_shares_judgments(spark, serve, conf):
+    """Three functions over 2500 rows: 7500 requests in row mode, 4 in optimized mode."""
+    stub = serve("echo", maxInflight="16", executionMode="row")
+    session = register(spark, session=JudgmentSession(spark))
+    spark.range(2500).select("id", F.when(F.col("id") % 2 == 0, "0.2").otherwise("0.8").alias("s")).createOrReplaceTempView("identity_rows")
+    query = "SELECT jev_prob(s, 'is it high?') p, jev_bool(s, 'is it high?') b, jev_choice(s, 'which?', array('0.2', '0.8')) c FROM identity_rows"
+    by_row = spark.sql(query).collect()
+    assert stub.requests == 7500
+    stub.reset()
+    conf(executionMode="optimized")
+    assert spark.sql(query).collect() == by_row == [(0.8, True, "0.8") if i % 2 else (0.2, False, "0.2") for i in range(2500)]
+    assert stub.requests == 4
+    counts = json.loads(spark.sql("SELECT jev_last_profile()").first()[0])["counts"]
+    assert (counts["input_rows"], counts["unique_judgments"], counts["deduplicated_rows"], counts["external_requests"]) == (7500, 4, 7496, 4)
+    stub.reset()
+    conf(batch_enabled="true", model="jev-1.13.0")
+    got = spark.sql("WITH t(id, a, b) AS (VALUES (0, '0.2', 'bird'), (1, '0.8', 'shark')) SELECT jev_prob(a, 'high?') p, jev_bool(a, 'high?') b, jev_choice(b, 'which?', array('bird', 'shark')) c FROM t ORDER BY id").collect()
+    counts = json.loads(session.last_profile())["counts"]
+    assert got == [(0.2, False, "bird"), (0.8, True, "shark")] and counts["unique_judgments"] == 4
+    assert stub.requests == counts["external_requests"] <= 4 and "secret" not in session.last_profile() and "shark" not in session.last_profile()
+
+
+def test_sql_in_flight_cap(spark, serve, conf):
+    stub = serve("slow", executionMode="row", maxInflight="1")
+    register(spark)
+    assert len(spark.range(40, numPartitions=4).selectExpr("jev_prob(cast(id as string), 'q') p").collect()) == 40
+    assert stub.requests == 40 and stub.peak == 1
+    stub.reset()
+    conf(maxInflight="4")
+    assert len(spark.range(40, numPartitions=2).selectExpr("jev_prob(cast(id as string), 'q') p").collect()) == 40
+    assert stub.requests == 40 and 1 < stub.peak <= 4
+
+
+def test_sql_honours_settings(spark, serve, conf):
+    stub = serve("echo", model="jev-1.13.0", cache_enabled="true", executionMode="optimized")
+    session = register(spark, session=JudgmentSession(spark))
+    for _ in range(2):
+        assert spark.range(30).selectExpr("jev_prob(concat('0.', id % 10), 'q') p").distinct().count() == 10
+    assert stub.requests == 10 and json.loads(session.last_profile())["counts"]["cache_hit_judgments"] == 10
+    assert [r[0] for r in spark.sql("SELECT jev_cache_clear() FROM range(3)").collect()] == [10] * 3 and session.cache_clear() == 0
+    conf(maxRequestBytes="1")
+    with pytest.raises(Exception, match="maxRequestBytes"):
+        spark.sql("SELECT jev_prob('0.2', 'one') p").collect()
+    assert stub.requests == 10 and json.loads(session.last_profile())["status"] == "failed"
+    conf(maxRequestBytes="262144", cache_enabled="false", batch_enabled="true", model="other")
+    with pytest.raises(Exception, match="batches"):
+        spark.sql("SELECT jev_prob('0.2', 'one') p").collect()
+    conf(batch_enabled="false", provider="selfhosted")
+    with pytest.raises(Exception, match="255"):
+        spark.sql("SELECT jev_choice('s', 'q', transform(sequence(1, 256), i -> cast(i as string))) c").collect()
+    with pytest.raises(Exception, match="criterion"):
+        spark.sql("SELECT jev_prob('s', '  ') p").collect()
+    counts = json.loads(session.last_profile())
+    assert counts["status"] == "failed" and counts["counts"]["input_rows"] == 1 and counts["counts"]["valid_rows"] == 0 and stub.requests == 10
+
+
+def test_sql_cancel(spark, serve):
+    """A cancelled query stops asking, and says so in its profile."""
+    stub = serve("stuck", executionMode="row", maxInflight="1")
+    session = register(spark, session=JudgmentSession(spark))
+
+    def run():
+        with pytest.raises(Exception):  # noqa: B017
+            spark.range(50, numPartitions=1).selectExpr("jev_prob(cast(id as string), 'q') p").collect()
+
+    t = threading.Thread(target=run)
+    t.start()
+    while not stub.requests:
+        time.sleep(0.1)
+    spark.sparkContext.cancelAllJobs()
+    t.join(30)
+    deadline = time.time() + 20
+    while session.last_profile() is None and time.time() < deadline:
+        time.sleep(0.1)
+    assert json.loads(session.last_profile())["status"] == "cancelled" and stub.requests < 5
+
+
 def test_empty_input(spark, serve):
     stub = serve()
     assert JudgmentSession(spark).judge(rows(spark, 0), prob("p", F.col("s"), F.lit("q"))).count() == 0 and stub.requests == 0
