@@ -164,7 +164,7 @@ ORACLE = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT * FROM (VALUES {', '.join(f"('{k.split('/')[0]}', '/{k.split('/', 1)[1]}', '{k}', '{c}')" for k, c in RULES)}) AS t(h, pre, rule, cls)),
-m AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(cls, length(rule)) AS cls FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
+m AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(cls, length(rule)) AS cls FROM p, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY host, path)
 SELECT p.page_id, host, path, rule, coalesce(cls, CASE WHEN list_has_any(regexp_split_to_array(host, '[.-]'), {SPAM_WORDS}) THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN m USING (page_id)
+FROM p LEFT JOIN m USING (host, path)
 """
