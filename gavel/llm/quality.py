@@ -9,7 +9,6 @@ every whole text once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -89,19 +88,20 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[np.nda
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def _scorer(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logit, bias = model.value
-        hasher = WordHasher()
-        for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                kinds = features(text.as_py() or b"", hasher)
-                z = bias + (sum(float(logit[k].mean(dtype=np.float64)) for k in kinds) / len(kinds) if kinds else 0.0)
-                scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
+    """The score of a binary column of texts; only this column goes through Python, each text once."""
+    shared, hasher = spark.sparkContext.broadcast(model), WordHasher()  # a fixed size
 
-    return run
+    def score(body: pa.Array) -> pa.Array:
+        logit, bias = shared.value
+        scores = []
+        for text in body:
+            kinds = features(text.as_py() or b"", hasher)
+            z = bias + (sum(float(logit[k].mean(dtype=np.float64)) for k in kinds) / len(kinds) if kinds else 0.0)
+            scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        return pa.array(scores, pa.float64())
+
+    return F.arrow_udf(score, "double").asNondeterministic()  # so that Spark never evaluates it twice
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,19 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
     """(row, score): every row as a struct with its score from its text alone; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    rows = docs.select(whole_row(docs).alias("row"), F.coalesce(column(text), F.lit("")).cast("binary").alias("body"))
-    from pyspark.sql.types import DoubleType, StructType
-
-    return rows.mapInArrow(_scorer(shared), StructType().add("row", rows.schema["row"].dataType).add("score", DoubleType()))
+    body = F.coalesce(column(text), F.lit("")).cast("binary")
+    return docs.select(whole_row(docs).alias("row"), scorer(docs.sparkSession, model)(body).alias("score"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
-    # As ``classify``, but only the id goes through Python beside the text.
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body")).mapInArrow(_scorer(model), "row long, score double")
-    return scored.select(F.col("row").alias("doc_id"), held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = classify(docs, fit(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
