@@ -155,6 +155,74 @@ def signature_rules() -> list[Rule]:
         ("copyright", "copyright notice", "copyright", 1, 0.4),
         ("permission", "(?:used|reprinted|reproduced) (?:with|by) (?:kind )?permission", "permission", 2, 0.5),
         ("licensed-work", "this (?:work|article|dataset|document|content|file|software) is (?:licensed|released|distributed|made available) under", "under", 2, 0.6),
+        # Sentences of headers and of the licenses' own texts.
+        ("apache-2.0", "licensed under the apache license version 2 0 the license", "apache", 8, 0.99),
+        ("apache-2.0", "you may not use this file except in compliance with the license", "in compliance", 6, 0.9),
+        ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "applicable law", 8, 0.97),
+        ("apache-2.0", "apache org licenses license 2 0", "apache", 9, 0.98),
+        ("gpl-any", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute", 6, 0.97),
+        ("gpl-any", "you should have received a copy of the gnu general public license along with this program", "received a copy", 6, 0.95),
+        ("gpl-any", "everyone is permitted to copy and distribute verbatim copies of this license document", "verbatim", 6, 0.8),
+        ("gpl-any", "gnu org licenses(?: gpl)?", "gnu org", 5, 0.85),
+        ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute", 8, 0.97),
+        ("lgpl", "you should have received a copy of the gnu lesser general public license along with this (?:library|program)", "received a copy", 8, 0.95),
+        ("agpl", "you should have received a copy of the gnu affero general public license along with this program", "received a copy", 8, 0.95),
+        ("agpl", "offer all users interacting with it remotely through a computer network", "remotely", 7, 0.9),
+        ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial portions", 8, 0.97),
+        ("mit", "opensource org licenses mit(?: license php)?", "opensource", 8, 0.97),
+        ("mit", "(?:the )?mit x11 license", "x11", 7, 0.95),
+        ("bsd-3-clause", "neither the name of (?:the )?(?:\\w+ ){1,6}nor the names of (?:its|any|the) contributors", "neither the name", 8, 0.95),
+        ("bsd-3-clause", "opensource org licenses bsd 3 clause", "opensource", 8, 0.97),
+        ("bsd-2-clause", "opensource org licenses bsd (?:2 clause|license)", "opensource", 8, 0.95),
+        ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising", 8, 0.97),
+        ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions", 7, 0.9),
+        ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions", 7, 0.9),
+        ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form", 8, 0.98),
+        ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl was not", 8, 0.97),
+        ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "subject to the mozilla", 8, 0.98),
+        ("epl-1.0", "made available under the terms of the eclipse public license v1 0", "eclipse", 8, 0.97),
+        ("epl-2.0", "made available under the terms of the eclipse public license (?:v )?2 0", "eclipse", 8, 0.97),
+        ("cddl", "the contents of this file are subject to the terms of (?:either )?the common development and distribution license", "common development", 8, 0.96),
+        ("boost-1.0", "distributed under the boost software license version 1 0", "boost", 8, 0.98),
+        ("boost-1.0", "boost org license 1 0 txt", "boost", 9, 0.98),
+        ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "held liable", 7, 0.9),
+        ("zlib", "altered source versions must be plainly marked as such", "plainly marked", 8, 0.95),
+        ("ofl", "the fonts? (?:and derivatives )?(?:however )?cannot be (?:released|sold) (?:under any other type of license|by itself)", "font", 7, 0.9),
+        ("ofl-1.1", "scripts sil org ofl", "sil org", 8, 0.95),
+        ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "a package may be", 8, 0.95),
+        ("python-2.0", "psf is making python available to licensee on an as is basis", "psf is making", 8, 0.97),
+        ("openssl", "this product includes software developed by the openssl project", "openssl", 8, 0.97),
+        ("cc-by-sa", "text is available under the creative commons attribution share ?alike license", "available under", 8, 0.97),
+        ("cc-by", "permits unrestricted use distribution and reproduction in any medium provided the original (?:work|author|authors) (?:is|are|and source are) (?:properly )?cite?d(?:ited)?", "unrestricted use", 8, 0.9),
+        ("cc-by", "open access article distributed under the(?: terms of the)? creative commons attribution license", "open access", 8, 0.97),
+        ("cc-by-nc", "permits (?:unrestricted )?non ?commercial use distribution and reproduction", "commercial use", 8, 0.9),
+        ("cc0", "creativecommons org publicdomain zero 1 0", "publicdomain", 9, 0.98),
+        ("cc0", "dedicated to the public domain by waiving all (?:of )?(?:his|her|their) rights", "waiving", 8, 0.95),
+        ("public-domain", "creativecommons org publicdomain mark 1 0", "publicdomain", 9, 0.95),
+        ("public-domain", "no (?:known )?copyright restrictions", "copyright restrictions", 5, 0.8),
+        ("public-domain", "work of the (?:united states|u s|us) (?:federal )?government", "work of the", 5, 0.8),
+        ("public-domain", "(?:its|the) copyright (?:term )?has expired", "expired", 5, 0.8),
+        ("open-government", "contains public sector information licensed under the open government licen[cs]e", "public sector", 8, 0.97),
+        ("llama", "llama (?:2|3|3 1|3 2|3 3) community license(?: agreement)?", "community license", 8, 0.97),
+        ("gemma", "gemma terms of use", "gemma", 8, 0.95),
+        ("openrail", "bigscience (?:open )?rail(?: [ms])? (?:1 0|license)", "bigscience", 8, 0.97),
+        ("commons-clause", "commons clause license condition", "commons clause", 8, 0.97),
+        ("polyform", "polyform (?:noncommercial|small business|shield|strict|perimeter) license", "polyform", 8, 0.97),
+        ("parity", "parity public license", "parity public", 8, 0.95),
+        ("blue-oak", "blue oak model license", "blue oak", 8, 0.97),
+        ("mulan-2.0", "mulan (?:psl|permissive software license) (?:v ?2|version 2)", "mulan", 8, 0.97),
+        ("nasa-1.3", "nasa open source agreement(?: version 1 3)?", "nasa", 8, 0.95),
+        ("cdla-permissive", "community data license agreement permissive", "data license agreement", 8, 0.97),
+        ("cdla-sharing", "community data license agreement sharing", "data license agreement", 8, 0.97),
+        ("crown-copyright", "crown copyright", "crown copyright", 4, 0.7),
+        ("proprietary", "this (?:document|software|material) (?:contains|is) (?:the )?confidential", "confidential", 4, 0.8),
+        ("proprietary", "this (?:document|software|material) (?:contains|is) (?:the )?proprietary", "proprietary", 4, 0.8),
+        ("proprietary", "may not be (?:copied|reproduced|distributed|republished)(?: \\w+){0,8} without (?:the )?(?:prior|express|written)", "may not be", 5, 0.85),
+        ("proprietary", "for (?:internal|personal)(?: and non ?commercial)? use only", "use only", 4, 0.7),
+        ("proprietary", "subject to (?:our|the) terms (?:of (?:use|service)|and conditions)", "subject to", 3, 0.5),
+        ("warranty-disclaimer", "in no event shall the (?:authors?|copyright (?:holders?|owner)|regents) (?:or (?:copyright holders|contributors) )?be liable", "in no event", 3, 0.6),
+        ("warranty-disclaimer", "merchantability fitness for a particular purpose and non ?infringement", "merchantability", 3, 0.6),
+        ("trademark", "(?:registered )?trademarks? of (?:their|its) respective owners?", "trademark", 1, 0.3),
         ("license-reference", "(?:licensed|released|distributed|available) under (?:the terms of )?(?:the|a|an)(?: \\w+){1,6}? licen[cs]e", "under", 2, 0.7),
     ]:
         rules.append(Rule(label, pattern, keyword, priority, weight))
