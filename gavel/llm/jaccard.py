@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, WordHasher, Workspace, column, mix, shingle_set, table, whole_row
+from .common import FOLD, LOWER, UPPER, WordHasher, Workspace, column, mix, shingle_set, table, whole_row
 
 BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 20, 24
 #: Ids are broadcast up to so many, about 32 MB; beyond, the tables are joined by a shuffle.
@@ -353,6 +353,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("first")
 
 
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d),
+e AS (SELECT doc_id, len(x) AS n, unnest(x) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, len(x)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM s LEFT JOIN m ON a = doc_id
+"""
+
+
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of one document of each component, with all their columns as they are.
 

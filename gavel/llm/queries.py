@@ -15,4 +15,4 @@ QUERIES = {
     "op10_token_counts": tokens.op10_token_counts,
 }
 
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op7_jaccard_join": jaccard.ORACLE}
