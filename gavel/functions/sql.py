@@ -12,6 +12,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -116,8 +117,7 @@ def register(spark: SparkSession, nondeterministic: bool = False, session: Judgm
         return task.judge(NOUL, pa.float64(), state, criterion)
 
     def jev_bool(state: pa.Array, criterion: pa.Array) -> pa.Array:
-        p = task.judge(NOUL, pa.float64(), state, criterion)
-        return pa.array([None if x is None else x >= 0.5 for x in p.to_pylist()], pa.bool_())
+        return pc.greater_equal(task.judge(NOUL, pa.float64(), state, criterion), 0.5)
 
     def jev_choice(state: pa.Array, question: pa.Array, choices: pa.Array) -> pa.Array:
         return task.judge(CHOICE, pa.string(), state, question, choices)

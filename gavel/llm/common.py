@@ -60,7 +60,7 @@ class WordHasher:
     its bytes alone, so long texts are hashed in stretches that end at white space.
     """
 
-    STRETCH = 1 << 19
+    STRETCH = 1 << 17
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)

@@ -246,12 +246,12 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, first) for every row.
+    """(doc_id, n_shingles, component_id) for every row.
 
     Two documents link if ``den * intersection >= num * union`` of their sets: the distinct shingles of ``width`` words (A-Z
     lower-cased, divided by ASCII white space); with fewer words, the whole sequence as one; without words, or a null text, empty
-    and linked with nothing.  component_id is the smallest doc_id connected by links (null ids are larger than any);
-    ``first`` marks one row of each component.  Shingles are compared by 64-bit, equal sets by 128-bit hashes.
+    and linked with nothing.  component_id is the smallest doc_id connected by links (null ids are larger than any).
+    Shingles are compared by 64-bit, equal sets by 128-bit hashes.
     """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "jaccard")
     region = min(1 << 63, int(1.75 * (1 - num / den) * (1 << 64)) + 1)
@@ -259,9 +259,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), body.alias("body"))
     sets = rows.mapInArrow(_first_tokens(width, num, den, region), "doc_id long, n int, a long, b long, slack int, tokens array<long>")
     sets = work.write(sets.withColumn("uid", F.monotonically_increasing_id()))
-    # One of equal sets goes on; the smallest doc_id, nulls last.
-    me = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-    reps = work.write(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min(me).alias("me")).select("a", "b", "n", F.col("me.doc_id").alias("doc_id"), F.col("me.uid").alias("uid")))
+    # One of equal sets goes on, under the smallest doc_id and the smallest uid, which may be of two rows.
+    reps = work.write(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid")))
     once = work.write(sets.select("uid", "slack", "tokens").join(reps.select("uid"), "uid", "left_semi"))
     tokens = once.select(F.explode("tokens").alias("token"), "uid", "slack")
     kept = prefix_tokens(tokens, region, work)
@@ -269,13 +268,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets = work.write_over(sets, sets.drop("tokens", "slack"))
     labels = search(docs, reps, kept, width, num, den, doc_id, body, work)
     own = reps.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    heads = work.write(own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("head")).select("label", F.col("head.doc_id").alias("component_id"), F.col("head.uid").alias("head")))
-    named = work.write(own.join(heads, "label").select("a", "b", "n", "component_id", "head"))
+    heads = work.write(own.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    named = work.write(own.join(heads, "label").select("a", "b", "n", "component_id"))
     work.drop_all_but(named, sets)
     # A hot set's rows meet a single row here, read from a table: adaptive execution can split them.
-    out = sets.select("doc_id", "uid", "a", "b", "n").join(named, ["a", "b", "n"], "left")
-    alone = F.col("n") == 0
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("head"))).alias("first"))
+    out = sets.select("doc_id", "a", "b", "n").join(named, ["a", "b", "n"], "left")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out.workspace = work
     return out
 
@@ -350,7 +348,7 @@ def search(docs: DataFrame, reps: DataFrame, kept: DataFrame, width: int, num: i
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("first")
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 ORACLE = rf"""
@@ -373,7 +371,7 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> Data
     """
     work = Workspace(docs.sparkSession, "jaccard")
     judged = jaccard_components(docs, doc_id=doc_id, **options)
-    gone = work.write(judged.groupBy("doc_id").agg(F.max("first").alias("stays")).where("not stays").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")))
+    gone = work.write(judged.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("none")))
     judged.workspace.drop_all_but()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -9,6 +9,7 @@ every whole text once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -22,42 +23,57 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 5, 4.0
 #: Bounds of the training sample; whole texts only, none longer than ``1 / SHARE`` of the bytes.
 MAX_ROWS, MAX_BYTES, SHARE = 4000, 12 << 20, 32
 FOLDS, THRESHOLD = 5, 0.3
+#: Bytes of a text whose features are formed at a time.
+STEP = 1 << 17
 #: Feature buckets of marks: a word that equals the one before it, or the one before that.
 MARKS = 2
 
 
-def features(data: bytes, hasher: WordHasher) -> list[np.ndarray]:
-    """Bucket numbers of each kind of feature."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    shift = np.uint32(32 - (BUCKETS.bit_length() - 1))
-    out = []
-    for n in (3, 4):
-        if len(b) >= n:
-            x = b[: len(b) - n + 1].copy()
-            for i in range(1, n):
-                x |= b[i : len(b) - n + 1 + i] << np.uint32(8 * i)
-            x *= np.uint32(0x9E3779B1)
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x85EBCA77)
-            out.append((x >> shift) + np.uint32(BUCKETS * (n - 3)))
+def features(data: bytes, hasher: WordHasher, step: int = STEP) -> Iterator[tuple[int, np.ndarray]]:
+    """(kind, bucket numbers) of the text's features, in parts: a text of any length takes bounded room."""
+    b, shift = np.frombuffer(data, np.uint8), np.uint32(32 - (BUCKETS.bit_length() - 1))
+    for at in range(0, len(b), step):
+        part = b[at : at + step + 3].astype(np.uint32)
+        for n in (3, 4):
+            m = min(step, len(b) - at - n + 1)  # n-grams that begin here
+            if m > 0:
+                x = part[:m].copy()
+                for i in range(1, n):
+                    x |= part[i : m + i] << np.uint32(8 * i)
+                x *= np.uint32(0x9E3779B1)
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0x85EBCA77)
+                yield n - 3, (x >> shift) + np.uint32(BUCKETS * (n - 3))
     w = hasher(data)
     if len(w):
         words = MARKS + (w >> np.uint64(33)) % np.uint64(BUCKETS - MARKS)
         marks = [np.full(np.count_nonzero(w[k:] == w[:-k]), k - 1, np.uint64) for k in (1, 2) if len(w) > k]
-        out.append((np.concatenate([words, *marks]) + np.uint64(2 * BUCKETS)).astype(np.uint32))
-    return out
+        yield 2, (np.concatenate([words, *marks]) + np.uint64(2 * BUCKETS)).astype(np.uint32)
 
 
 def bag(data: bytes, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their weights, which sum to 1; none for a text without features."""
-    kinds = features(data, hasher)
-    if not kinds:
+    parts: dict[int, list] = {}
+    for kind, ids in features(data, hasher):
+        parts.setdefault(kind, []).append(ids)
+    if not parts:
         return np.empty(0, np.int64), np.empty(0)
+    kinds = [np.concatenate(x) for x in parts.values()]
     weight = np.concatenate([np.full(len(k), 1 / (len(k) * len(kinds))) for k in kinds])
     ids, back = np.unique(np.concatenate(kinds), return_inverse=True)
     return ids.astype(np.int32), np.bincount(back, weight).astype(np.float32)
 
 
+def mean_logit(data: bytes, logit: np.ndarray, hasher: WordHasher) -> float:
+    """The mean over the kinds of the mean of their features' logits; 0 for a text without features."""
+    sums, n = np.zeros(3), np.zeros(3)
+    for kind, ids in features(data, hasher):
+        sums[kind] += logit[ids].sum(dtype=np.float64)
+        n[kind] += len(ids)
+    some = n > 0
+    return float((sums[some] / n[some]).mean()) if some.any() else 0.0
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 11) -> tuple[np.ndarray, float]:
     """(logit per bucket, bias): the score of a document is the logistic function of its features' mean plus the bias."""
     rng = np.random.default_rng(seed)
@@ -96,8 +112,7 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
         logit, bias = shared.value
         scores = []
         for text in body:
-            kinds = features(text.as_py() or b"", hasher)
-            z = bias + (sum(float(logit[k].mean(dtype=np.float64)) for k in kinds) / len(kinds) if kinds else 0.0)
+            z = bias + mean_logit(text.as_py() or b"", logit, hasher)
             scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
         return pa.array(scores, pa.float64())
 

@@ -10,11 +10,16 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.functions.sql import register
+from gavel.functions.values import state_reader
+from gavel.operators.workspace import Workspace
 from gavel.plans.judge import JudgmentSession, choice, prob, yes
+from gavel.sources.providers import Http, Mock
+from gavel.streaming.bridge import judge_stream
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
 LABELS = ("low", "normal", "high")
@@ -148,8 +153,163 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         return counts.withColumn("cleared", F.lit(session.cache_clear()).cast("long"))
 
 
+def _kept(session: JudgmentSession, df: DataFrame) -> DataFrame:
+    """The frame computed under the settings of now."""
+    return Workspace(session.spark, "query").write(df)
+
+
+def sql_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three SQL functions over one column cost in optimized mode: the distinct judgments of all of them together."""
+    with _session(spark) as session:
+        register(spark, session=session)
+        _kept(session, spark.sql(f"SELECT jev_prob(event_type, 'q'), jev_bool(event_type, 'q'), jev_choice(event_type, 'which level?', {LIST}) FROM {{events}}", events=_table(spark, sf_dir, "events")).toDF("p", "b", "label"))
+        return _counts(session, n="input_rows", judgments="unique_judgments", saved="deduplicated_rows", asked="provider_invocations")
+
+
+def sql_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions give the same in optimized mode, with batches and cache."""
+    with _session(spark, batch_enabled="true", cache_enabled="true") as session:
+        register(spark, session=session)
+        return _kept(session, spark.sql(f"SELECT event_id, jev_prob(event_type, 'q') AS p, jev_bool(event_type, 'q') AS b, jev_choice(event_type, 'which level?', {LIST}) AS label FROM {{events}}", events=_table(spark, sf_dir, "events")))
+
+
+def sql_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second SQL query is answered by the cache; jev_cache_clear() and jev_last_profile() as functions."""
+    with _session(spark, cache_enabled="true") as session:
+        register(spark, session=session)
+        for _ in range(2):
+            _kept(session, spark.sql("SELECT jev_prob(c_mktsegment, 'q') AS p FROM {customer}", customer=_table(spark, sf_dir, "customer")))
+        return _kept(session, spark.sql("SELECT cast(get_json_object(jev_last_profile(), '$.counts.cache_hit_judgments') AS bigint) AS hits, get_json_object(jev_last_profile(), '$.status') AS status, jev_cache_clear() AS cleared"))
+
+
+def many_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests are full whatever the number of judgments: over 4096 of one question."""
+    with _session(spark, batch_enabled="true") as session:
+        session.judge(_table(spark, sf_dir, "lineitem").select("l_orderkey"), prob("p", F.col("l_orderkey").cast("string"), F.lit("q")))
+        return _counts(session, n="input_rows", judgments="unique_judgments", requests="provider_invocations")
+
+
+def byte_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that bytes limit: five names of 18 characters fit where sixteen judgments would be allowed."""
+    with _session(spark, batch_enabled="true", maxRequestBytes=str(1024 + 5 * (512 + 6 * (18 + 1 + 2)))) as session:
+        session.judge(_table(spark, sf_dir, "supplier").select("s_name"), prob("p", F.col("s_name"), F.lit("q")))
+        return _counts(session, judgments="unique_judgments", requests="provider_invocations")
+
+
+def stream_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files, judged by micro-batches."""
+    with _session(spark) as session:
+        work = Workspace(spark, "stream")
+        work.write(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+        stream = spark.readStream.schema("c_custkey long, c_mktsegment string").parquet(f"{work.root}/1")
+        sink = lambda df, n: df.write.mode("append").parquet(f"{work.root}/out")
+        judge_stream(stream, session, [prob("p", F.col("c_mktsegment"), F.lit("q"))], sink).option("checkpointLocation", f"{work.root}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{work.root}/out").drop("c_mktsegment")
+
+
+def host_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judged table written as Parquet, rows added to it, and read by a prepared statement over a view and VALUES."""
+    register(spark)
+    work = Workspace(spark, "host")
+    judged = "SELECT n_name AS name, jev_prob(n_name, 'q') AS p FROM {nation} WHERE n_regionkey %s 2"
+    for test in ("<", ">="):
+        spark.sql(judged % test, nation=_table(spark, sf_dir, "nation")).write.mode("append").option("parquet.block.size", 2048).parquet(f"{work.root}/nations")
+    spark.read.parquet(f"{work.root}/nations").createOrReplaceTempView("judged_nations")
+    return spark.sql("EXECUTE IMMEDIATE 'SELECT name, p, jev_prob(name, ?) AS r FROM judged_nations UNION ALL SELECT name, jev_prob(name, ?) AS p, null AS r FROM VALUES (''Atlantis''), (''Utopia'') AS t(name)' USING 'r', 'q'")
+
+
+#: Calls that are refused, by a name, and the error of each.
+REFUSED = {
+    "blank criterion": ("jev_prob(x, ' ')", "criterion must not be empty or whitespace"),
+    "blank question": ("jev_choice(x, '', array('a', 'b'))", "question must not be empty or whitespace"),
+    "one choice": ("jev_choice(x, 'q', array('a'))", "choices must contain at least two labels"),
+    "blank choice": ("jev_choice(x, 'q', array('a', ' '))", "choices must not contain empty or whitespace labels"),
+    "equal choices": ("jev_choice(x, 'q', array('a', 'a'))", "choices must not contain duplicate labels"),
+    "null choice": ("jev_choice(x, 'q', array('a', null))", "choices must not contain NULL labels"),
+    "no list": ("jev_choice(x, 'q', 'a')", "choices must be a list"),
+    "scalar state": ("jev_prob(1, 'q')", "unsupported state type: expected STRUCT or VARCHAR"),
+    "nested state": ("jev_prob(named_struct('a', array(1)), 'q')", "unsupported STRUCT field type"),
+    "not a number": ("jev_prob(named_struct('a', double('NaN')), 'q')", "state contains a non-finite floating point value"),
+    "null beside a fault": ("jev_prob(cast(null AS string), ' ')", "none"),
+}
+#: Settings that are refused: the setting, its value, and the error.
+SETTINGS_REFUSED = [
+    ("provider", "oracle", "spark.jev.provider must be 'mock', 'remote' or 'selfhosted'"),
+    ("executionMode", "Row", "spark.jev.executionMode must be 'row' or 'optimized'"),
+    ("timeoutMs", "0", "spark.jev.timeoutMs must be greater than 0"),
+    ("maxInflight", "-1", "spark.jev.maxInflight must be greater than 0"),
+    ("batch.enabled", "true", "spark.jev.batch.enabled requires spark.jev.executionMode='optimized'"),
+    ("cache.enabled", "true", "spark.jev.cache.enabled requires spark.jev.executionMode='optimized'"),
+]
+
+
+def _error(df: DataFrame) -> str:
+    try:
+        df.collect()
+        return "none"
+    except Exception as e:  # noqa: BLE001  whatever the engine wraps it in
+        return next((m for m in [*(m for _, m in REFUSED.values()), *(m for *_, m in SETTINGS_REFUSED)] if m in str(e)), str(e)[:200])
+
+
+def refused_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each faulty call over region's names."""
+    register(spark)
+    regions = _table(spark, sf_dir, "region").withColumnRenamed("r_name", "x")
+    return spark.createDataFrame([(name, _error(regions.selectExpr(f"{call} AS y"))) for name, (call, _) in REFUSED.items()], "name string, error string")
+
+
+def refused_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each faulty setting, and that NULL rows do not meet it."""
+    register(spark)
+    regions, out = _table(spark, sf_dir, "region"), []
+    for name, value, _ in SETTINGS_REFUSED:
+        spark.conf.set(f"spark.jev.{name}", value)
+        try:
+            out.append((name, _error(regions.selectExpr("jev_prob(r_name, 'q') AS y")), _error(regions.selectExpr("jev_prob(nullif(r_name, r_name), 'q') AS y"))))
+        finally:
+            spark.conf.unset(f"spark.jev.{name}")
+    return spark.createDataFrame(out, "name string, error string, null_error string")
+
+
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each provider may be asked, and which answers may be kept."""
+    rows = [(p.name, getattr(p, "model", ""), p.external, p.batch, p.max_choices, p.cache_model() is not None) for p in (Mock(), *(Http(n, model=m) for n, m in (("remote", "jev-latest"), ("remote", "jev-1.13.0"), ("remote", "jev-2"), ("remote", "jev-1.14"), ("selfhosted", "jev-1.13.0"))))]
+    return spark.createDataFrame(rows, "provider string, model string, external boolean, batch string, max_choices int, cacheable boolean")
+
+
+def canonical_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical text of orders as structs: decimals, booleans, floats, integers, texts and nulls."""
+    state = "named_struct('total', cast(o_totalprice AS decimal(14, 2)), 'open', o_orderstatus = 'O', 'price', o_totalprice, 'key', o_custkey, 'flag', nullif(o_orderstatus, 'F')) AS state"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reader = state_reader(batch.column(1).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader(x).canonical for x in batch.column(1)], pa.string())], names=["o_orderkey", "canonical"])
+
+    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey", state).mapInArrow(encode, "o_orderkey long, canonical string")
+
+
+def prob_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as states; SQL is too slow on texts of this length."""
+    register(spark)
+    return _table(spark, sf_dir, "documents").selectExpr("doc_id", "jev_prob(text, 'is it clear?') AS p")
+
+
+QUERIES |= {f.__name__: f for f in (sql_shared, sql_optimized, sql_cache, many_judgments, byte_packing, stream_judged, host_tables, refused_calls, refused_settings, capabilities, canonical_states, prob_documents)}
+ORACLE_SQL["sql_shared"] = "SELECT 3 * count(*) AS n, 2 * count(DISTINCT event_type) AS judgments, 3 * count(*) - 2 * count(DISTINCT event_type) AS saved, 2 * count(DISTINCT event_type) AS asked FROM events"
+ORACLE_SQL["sql_cache"] = "SELECT count(DISTINCT c_mktsegment) AS hits, 'completed' AS status, count(DISTINCT c_mktsegment) AS cleared FROM customer"
+ORACLE_SQL["many_judgments"] = "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS judgments, ceil(count(DISTINCT l_orderkey) / 16.0)::BIGINT AS requests FROM lineitem"
+ORACLE_SQL["byte_packing"] = "SELECT count(DISTINCT s_name) AS judgments, ceil(count(DISTINCT s_name) / 5.0)::BIGINT AS requests FROM supplier"
+ORACLE_SQL["stream_judged"] = f"WITH t AS (SELECT c_mktsegment, {_p('c_mktsegment', 'q')} AS p FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, p FROM customer JOIN t USING (c_mktsegment)"
+ORACLE_SQL["host_tables"] = f"SELECT n_name AS name, {_p('n_name', 'q')} AS p, {_p('n_name', 'r')} AS r FROM nation UNION ALL SELECT name, {_p('name', 'q')} AS p, NULL AS r FROM (VALUES ('Atlantis'), ('Utopia')) AS t(name)"
+ORACLE_SQL["refused_calls"] = f"SELECT * FROM (VALUES {', '.join(str((n, m)) for n, (_, m) in REFUSED.items())}) AS t(name, error)"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+ORACLE_SQL["refused_settings"] = "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(n)}, {_quoted(m)}, 'none')" for n, _, m in SETTINGS_REFUSED) + ") AS t(name, error, null_error)"
+ORACLE_SQL["capabilities"] = "SELECT * FROM (VALUES ('mock', '', false, 'Verified', NULL::INT, true), ('remote', 'jev-latest', true, 'Verified', NULL, false), ('remote', 'jev-1.13.0', true, 'Verified', NULL, true), ('remote', 'jev-2', true, 'Unknown', NULL, false), ('remote', 'jev-1.14', true, 'Unknown', NULL, true), ('selfhosted', 'jev-1.13.0', true, 'Unsupported', 255, false)) AS t(provider, model, external, batch, max_choices, cacheable)"
+ORACLE_SQL["canonical_states"] = "SELECT o_orderkey, " + _struct(total="""'{"t":"decimal","v":"' || o_totalprice::DECIMAL(14, 2) || '"}'""", open="""'{"t":"bool","v":' || (o_orderstatus = 'O') || '}'""", price=_float("o_totalprice"), key=_int("o_custkey"), flag="""CASE WHEN o_orderstatus = 'F' THEN '{"t":"null"}' ELSE '{"t":"text","v":"' || o_orderstatus || '"}' END""") + " AS canonical FROM orders"
 QUERIES |= {"verb_dedup": verb_dedup, "distinct_identity": distinct_identity, "batch_plan": batch_plan, "profile_counts": profile_counts, "cache_reuse": cache_reuse}
 ORACLE_SQL["verb_dedup"] = f"WITH t AS (SELECT event_type, {_p('event_type', 'q')} AS p, {_c('event_type', 'which level?', LABELS)} AS label FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, p, p >= 0.5 AS b, label FROM events JOIN t USING (event_type)"
+ORACLE_SQL["sql_optimized"] = ORACLE_SQL["verb_dedup"]
 ORACLE_SQL["distinct_identity"] = "SELECT count(*) AS n, count(*) AS valid, count(DISTINCT user_id) AS judgments, count(*) - count(DISTINCT user_id) AS saved, ceil(count(DISTINCT user_id) / 16.0)::BIGINT AS requests FROM events"
 ORACLE_SQL["batch_plan"] = "SELECT 2 * count(DISTINCT s_name) AS judgments, 2 * ceil(count(DISTINCT s_name) / 16.0)::BIGINT AS requests FROM supplier"
 ORACLE_SQL["profile_counts"] = "SELECT count(*) AS n, count_if(c_mktsegment = 'BUILDING')::BIGINT AS absent, count_if(c_mktsegment != 'BUILDING')::BIGINT AS valid, count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS judgments, count_if(c_mktsegment != 'BUILDING')::BIGINT - count(DISTINCT nullif(c_mktsegment, 'BUILDING')) AS saved, 0::BIGINT AS failed FROM customer"

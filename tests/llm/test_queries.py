@@ -228,8 +228,10 @@ def test_pipeline_stages(spark, small, path):
     logit, bias = quality.fit(docs, spark.read.parquet(f"{path}/labels.parquet"))
     hasher, kept = WordHasher(), []
     for r in docs.collect():
-        kinds = quality.features((r.text or "").encode(), hasher)
-        z = bias + (np.mean([logit[k].mean(dtype=np.float64) for k in kinds]) if kinds else 0.0)
+        kinds = defaultdict(list)
+        for kind, ids in quality.features((r.text or "").encode(), hasher, 1 << 30):
+            kinds[kind] += logit[ids].tolist()
+        z = bias + (np.mean([np.mean(k) for k in kinds.values()]) if kinds else 0.0)
         kept += [tuple(r)] * int(1 / (1 + np.exp(-z)) >= 0.3)
     assert rows(good) == Counter(kept) and 0 < len(kept) < docs.count()
 

@@ -10,6 +10,7 @@ from gavel.functions.values import JudgmentError
 from gavel.plans.judge import JudgmentSession, choice, prob, yes
 from gavel.streaming.bridge import judge_stream
 from stub import Stub
+from workload import EXPECTED, workload
 
 
 @pytest.fixture
@@ -185,6 +186,33 @@ def test_sql_shares_judgments(spark, serve, conf):
     assert stub.requests == counts["external_requests"] <= 4 and "secret" not in session.last_profile() and "shark" not in session.last_profile()
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000])
+def test_workload_requests(spark, serve, conf, n):
+    """Requests of the reference workload: distinct judgments, full batches, none with a warm cache; in row mode, valid rows."""
+    valid, unique = EXPECTED[n]
+    stub = serve("echo", model="jev-1.13.0")
+    session = register(spark, session=JudgmentSession(spark))
+    df = spark.createDataFrame(workload(n), "id long, state string, criterion string").repartition(4)
+    df.createOrReplaceTempView("workload")
+    full = sum(-(-r["n"] // 16) for r in df.where("state is not null and criterion is not null").groupBy("criterion").agg(F.count_distinct("state").alias("n")).collect())
+    verb = lambda: session.judge(df, prob("p", F.col("state"), F.col("criterion"))).where("p = double(state)").count()
+    sql = lambda: spark.sql("SELECT state, jev_prob(state, criterion) AS p FROM workload").where("p = double(state)").count()
+    for run in (verb, sql):
+        for requests, settings in ((unique, {}), (full, {"batch_enabled": "true"}), (unique, {"batch_enabled": "false", "cache_enabled": "true"}), (0, {})):
+            conf(**settings)
+            stub.reset()
+            assert run() == valid
+            # SQL packs each task's share of each question by itself.
+            assert requests <= stub.requests <= requests + (16 if run is sql and requests == full else 0)
+            if not settings:
+                conf(cache_enabled="false")
+        session.cache_clear()
+    if n == 1_000:
+        conf(executionMode="row")
+        stub.reset()
+        assert verb() == valid and stub.requests == valid
+
+
 def test_sql_in_flight_cap(spark, serve, conf):
     stub = serve("slow", executionMode="row", maxInflight="1")
     register(spark)
