@@ -12,6 +12,7 @@ import secrets
 import time
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from pyspark.sql.types import StringType, StructType
 from gavel.functions.batches import distinct, read
 from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, State, invalid
 from gavel.operators import profile
-from gavel.operators.asking import Outcome, ask, packs, preflight
+from gavel.operators.asking import Outcome, ask, crossings, ends, pack_numbers, packs, preflight, sizes
 from gavel.operators.cache import JudgmentCache, Key, Policy
 from gavel.operators.workspace import Workspace
 from gavel.sources.providers import REMOTE_URL, SETTINGS, Config, Provider, Reply, make_provider, read_config
@@ -29,6 +30,7 @@ from gavel.sources.providers import REMOTE_URL, SETTINGS, Config, Provider, Repl
 IDENTITY = ["kind", "is_text", "canonical", "text", "choices"]
 QUESTION = ["kind", "text", "choices"]
 ANSWER = "kind string, is_text boolean, canonical string, text string, choices array<string>, p double, label string, error_kind string, error string, sent boolean, size long, model string, input_tokens long, output_tokens long, seconds double, serialize double"
+SEGMENT = "kind string, text string, choices array<string>, segment long"
 #: Judgments of one question that are dealt to one task at most, to be numbered or to be packed into requests.
 CHUNK = 4096
 
@@ -98,6 +100,42 @@ def _judge_chunk(config: Config, secret: str, limit: int):
     return run
 
 
+def _sizes(config: Config, secret: str, limit: int):
+    def run(*columns: pa.Array) -> pa.Array:
+        provider = make_provider(config, secret)
+        rows = zip(*(c.to_pylist() for c in columns))
+        return pa.array([sizes(Request(k, State(t, c), x, tuple(ch)), limit, provider) for k, t, c, x, ch in rows], pa.list_(pa.int64()))
+
+    return F.arrow_udf(run, "array<long>")
+
+
+def _cut_segment(length: int, limit: int, max_bytes: int):
+    """One row for a segment: its packs from every place where one may start."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("no")
+        end = ends(np.stack(pdf["bytes"]), int((pdf["no"] // length == pdf["segment"]).sum()), limit, max_bytes)
+        kind, text, choices, segment = pdf[[*QUESTION, "segment"]].iloc[0]
+        return pd.DataFrame([(kind, text, list(choices), segment, end, *crossings(end, limit))], columns=[*QUESTION, "segment", "end", "taken", "started"])
+
+    return run
+
+
+def _follow_segments(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where a question's packs enter each segment, and the packs before it."""
+    pdf, entry, before, rows = pdf.sort_values("segment"), 0, 0, []
+    for taken, started in zip(pdf["taken"], pdf["started"]):
+        rows.append((entry, before))
+        entry, before = int(taken[entry]), before + int(started[entry])
+    pdf["entry"], pdf["before"] = zip(*rows)
+    pdf["packs"] = before
+    return pdf[[*QUESTION, "segment", "entry", "before", "packs"]]
+
+
+def _pack_numbers(end: pa.Array, entry: pa.Array, before: pa.Array) -> pa.Array:
+    return pa.array([pack_numbers(*row) for row in zip(end.to_pylist(), entry.to_pylist(), before.to_pylist())], pa.list_(pa.int64()))
+
+
 class JudgmentSession:
     """A SparkSession's judgments: verbs, cache, and the profile of the last query."""
 
@@ -223,19 +261,27 @@ class JudgmentSession:
         return self._publish(encoded, specs, found)
 
     def _ask(self, todo: DataFrame, config: Config, provider: Provider, limit: int, work: Workspace) -> DataFrame:
-        """The answers of judgments, each question's numbered from 0 and cut at multiples of ``limit``, so that only its last
-        request is not full, unless bytes are short."""
+        """The answers of judgments, each question's numbered from 0 and cut in this order into requests as full as ``limit`` and
+        bytes allow, so that only its last one is not full."""
         # Numbers: judgments are dealt by a hash, counted by deal and ranked inside their deal.
-        sizes = todo.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n"))
-        dealt = work.write(todo.join(sizes, QUESTION).withColumn("deal", F.pmod(F.xxhash64("canonical", "copy"), F.expr(f"n div {CHUNK} + 1"))))
+        counts = todo.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n"))
+        dealt = todo.join(counts, QUESTION).withColumn("deal", F.pmod(F.xxhash64("canonical", "copy"), F.expr(f"n div {CHUNK} + 1")))
+        if limit > 1:
+            dealt = dealt.withColumn("bytes", _sizes(config, getattr(provider, "credential", ""), limit)(*IDENTITY))
+        dealt = work.write(dealt)
         before = Window.partitionBy(*QUESTION).orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
         deals = dealt.groupBy(*QUESTION, "deal").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
         place = F.row_number().over(Window.partitionBy(*QUESTION, "deal").orderBy("canonical", "copy")) - 1
-        numbered = dealt.withColumn("place", place).join(deals, [*QUESTION, "deal"]).withColumn("no", F.col("before") + F.col("place"))
+        numbered = dealt.withColumn("place", place).join(deals, [*QUESTION, "deal"]).withColumn("no", F.col("before") + F.col("place")).drop("before")
+        reach = self._reach(dealt, limit, config.max_request_bytes) if limit > 1 else None
+        if reach:
+            packed, limit = self._pack_by_bytes(work.write(numbered), reach, config.max_request_bytes, work), reach
+        else:
+            packed = numbered.withColumn("pack", F.expr(f"no div {limit}")).withColumn("packs", F.expr(f"ceil(n / {limit})"))
         # Chunks of whole requests: as many as may be in flight, or more.
         most = max(1, CHUNK // limit)
-        per = F.expr(f"least({most}, ceil(ceil(n / {limit}) / {config.max_inflight}))").cast("long")
-        chunks = numbered.withColumn("chunk", F.expr(f"no div {limit}") - F.pmod(F.expr(f"no div {limit}"), per)).withColumn("turn", F.expr("chunk") / per)
+        per = F.expr(f"least({most}, ceil(packs / {config.max_inflight}))").cast("long")
+        chunks = packed.drop("bytes").withColumn("chunk", F.col("pack") - F.pmod("pack", per)).withColumn("turn", F.expr("chunk") / per)
         keys = ["chunk", *QUESTION]
         if provider.external:
             # Chunks take turns in exactly as many tasks as requests may be in flight.
@@ -245,6 +291,29 @@ class JudgmentSession:
             keys = ["slot", *keys]
         return chunks.groupBy(*keys).applyInPandas(_judge_chunk(config, getattr(provider, "credential", ""), limit), ANSWER)
 
+    def _reach(self, dealt: DataFrame, limit: int, max_bytes: int) -> int | None:
+        """The most judgments that bytes may let into one request, if they may let in fewer than ``limit``; else None."""
+        places = [1, *(min(limit, 10 ** (d + 1)) - 10**d for d in range(len(str(limit - 1))))]
+        largest = sum(F.max(F.get("bytes", F.lit(d))) * n for d, n in enumerate(places))
+        found = dealt.groupBy(*QUESTION).agg(largest.alias("full"), F.min(F.array_min("bytes")).alias("least")).agg(F.max("full").alias("full"), F.min("least").alias("least")).first()
+        return min(limit, 1 + max_bytes // found["least"]) if found["full"] is not None and found["full"] > max_bytes else None
+
+    def _pack_by_bytes(self, numbered: DataFrame, limit: int, max_bytes: int, work: Workspace) -> DataFrame:
+        """Each judgment's request, as one pass over its question's judgments would cut them.
+
+        Segments are cut in parallel for every place where the first request may start, of which a question's segments in
+        their order then choose one.  A segment also sees the bytes of the judgments after it that its last request may take.
+        """
+        length = max(1, CHUNK // limit) * limit
+        numbered = numbered.withColumn("segment", F.expr(f"no div {length}"))
+        seen = F.array_compact(F.array("segment", F.when((F.col("segment") > 0) & (F.col("no") % length < limit - 1), F.col("segment") - 1)))
+        cut = numbered.select(*QUESTION, F.explode(seen).alias("segment"), "no", "bytes").groupBy(*QUESTION, "segment")
+        cut = work.write(cut.applyInPandas(_cut_segment(length, limit, max_bytes), f"{SEGMENT}, end array<int>, taken array<int>, started array<int>"))
+        entries = cut.drop("end").groupBy(*QUESTION).applyInPandas(_follow_segments, f"{SEGMENT}, entry long, before long, packs long")
+        numbers = F.arrow_udf(_pack_numbers, "array<long>")("end", "entry", "before")
+        found = cut.select(*QUESTION, "segment", "end").join(entries, [*QUESTION, "segment"]).select(*QUESTION, "segment", "packs", numbers.alias("numbers"))
+        return numbered.join(found, [*QUESTION, "segment"]).withColumn("pack", F.get("numbers", (F.col("no") % length).cast("int"))).drop("numbers")
+
     def _slots(self, n: int) -> list[int]:
         """A number for each of n partitions that Spark's hash puts there."""
         found = self.spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect()

@@ -1,13 +1,20 @@
 import json
+import random
 import threading
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gavel.functions.sql import register
-from gavel.functions.values import JudgmentError
+from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, text_state
+from gavel.operators.asking import crossings, ends, pack_numbers, packs, sizes
+from gavel.plans import judge
 from gavel.plans.judge import JudgmentSession, choice, prob, yes
+from gavel.queries import byte_packing
+from gavel.sources.providers import Http, Mock
 from gavel.streaming.bridge import judge_stream
 from stub import Stub
 from workload import EXPECTED, workload
@@ -139,6 +146,46 @@ def test_requests_are_full_and_in_flight_together(spark, serve):
     assert histogram == {"16": 625}
 
 
+def test_byte_packing_beyond_one_chunk(spark):
+    """Five names to a request, also where the names fill several chunks."""
+    assert tuple(byte_packing(spark, "/root/testdata/sf0.01").first()) == (100, 20)
+
+
+@pytest.mark.parametrize("provider", [Mock(), Http("remote", model="jev-1.13.0", credential="x")])
+@pytest.mark.parametrize(("limit", "max_bytes"), [(16, 4_000), (16, 1_000_000), (120, 9_000), (3, 3_000), (16, 1)])
+def test_segments_cut_like_one_pass(provider, limit, max_bytes):
+    rng = random.Random(limit)
+    work = [Request(NOUL, text_state("x" * rng.choice([1, 9, 90, 400])), "q") for _ in range(700)]
+    length, entry, before, got = 2 * limit, 0, 0, []
+    bytes_of = np.array([sizes(r, limit, provider) for r in work])
+    for start in range(0, len(work), length):
+        own = min(length, len(work) - start)
+        end = ends(bytes_of[start : start + length + limit - 1], own, limit, max_bytes)
+        taken, started = crossings(end, limit)
+        got += pack_numbers(end.tolist(), entry, before)
+        entry, before = taken[entry], before + started[entry]
+    assert got == [i for i, pack in enumerate(packs(work, limit, max_bytes, provider)) for _ in pack]
+
+
+@pytest.mark.parametrize("max_bytes", [3_000, 100_000])
+def test_requests_that_bytes_limit(spark, serve, conf, monkeypatch, max_bytes):
+    """Two questions over states of many lengths, dealt to many segments: the requests of one pass, whatever is in flight."""
+    monkeypatch.setattr(judge, "CHUNK", 32)
+    stub = serve("echo", batch_enabled="true", model="jev-1.13.0", maxRequestBytes=str(max_bytes))
+    df = spark.range(1_000).select(F.concat(F.format_string("%.4f", F.col("id") / 1_000), F.repeat(F.lit("0"), (F.col("id") * F.col("id") % 400).cast("int"))).alias("s"))
+    ordered = [r.s for r in df.select("s", F.expr("pmod(xxhash64(s, 0L), 1000 div 32 + 1) AS deal")).orderBy("deal", "s").collect()]
+    questions = [(NOUL, "q", ()), (CHOICE, "which?", ("a", "b"))]
+    want = Counter(len(p) for k, q, c in questions for p in packs([Request(k, text_state(s), q, c) for s in ordered], 16, max_bytes, Http("remote", model="jev-1.13.0", credential="x")))
+    session = JudgmentSession(spark)
+    for inflight in ("1", "8"):
+        conf(maxInflight=inflight)
+        stub.reset()
+        out = session.judge(df, prob("p", F.col("s"), F.lit("q")), choice("c", F.col("s"), F.lit("which?"), F.array(F.lit("a"), F.lit("b"))))
+        assert out.where("p = double(s) AND c = 'a'").count() == 1_000
+        assert stub.requests == sum(want.values()) and stub.peak <= int(inflight)
+        assert json.loads(session.last_profile())["counts"]["batch_size_histogram"] == {str(n): m for n, m in want.items()}
+
+
 @pytest.mark.parametrize("mode", ["optimized", "row"])
 def test_peak(spark, serve, conf, mode):
     stub = serve("slow", executionMode=mode)
