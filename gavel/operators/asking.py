@@ -86,7 +86,7 @@ def pack_numbers(end: list[int], entry: int, before: int) -> list[int]:
 
 def ask(provider: Provider, pack: list[Request], max_bytes: int | None) -> Outcome:
     """One request, its rows keyed r0, r1 ...; larger ones than ``max_bytes`` are not sent."""
-    keyed = [Request(r.kind, r.state, r.text, r.choices, f"r{i}") for i, r in enumerate(pack)]
+    keyed = [r if r.key == f"r{i}" else Request(r.kind, r.state, r.text, r.choices, f"r{i}") for i, r in enumerate(pack)]
     began, sent = time.perf_counter(), False
     try:
         if max_bytes is not None and sum(provider.added(r, i) for i, r in enumerate(keyed)) > max_bytes:

@@ -11,18 +11,20 @@ import hmac
 import secrets
 import time
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from gavel.functions.batches import distinct, read
-from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, State, invalid
+from gavel.functions.values import CHOICE, NOUL, WHITE, JudgmentError, Request, State, invalid
 from gavel.operators import profile
-from gavel.operators.asking import Outcome, ask, crossings, ends, pack_numbers, packs, preflight, sizes
+from gavel.operators.asking import Outcome, ask, crossings, ends, pack_numbers, preflight, sizes
 from gavel.operators.cache import JudgmentCache, Key, Policy
 from gavel.operators.workspace import Workspace
 from gavel.sources.providers import REMOTE_URL, SETTINGS, Config, Provider, Reply, make_provider, read_config
@@ -78,24 +80,43 @@ def _encoder(kind: str):
     return F.arrow_udf(encode, "is_text boolean, canonical string, error string")
 
 
-def _judge_chunk(config: Config, secret: str, limit: int):
-    """Judges the work of one question, packed in order by number and bytes."""
+def _text_code(kind: str, state: Column, text: Column, choices: Column, present: Column) -> Column:
+    """What the encoder gives for text states, without Python: they are canonical as they are, and only the question can be wrong."""
+    blank = lambda c: F.trim(c, F.lit(WHITE)) == ""
+    error = F.when(blank(text), f"{'criterion' if kind == NOUL else 'question'} must not be empty or whitespace")
+    if kind == CHOICE:
+        error = (
+            error.when(F.exists(choices, lambda c: c.isNull()), "choices must not contain NULL labels")
+            .when(F.size(choices) < 2, "choices must contain at least two labels")
+            .when(F.exists(choices, blank), "choices must not contain empty or whitespace labels")
+            .when(F.size(F.array_distinct(choices)) < F.size(choices), "choices must not contain duplicate labels")
+        )
+    return F.when(present, F.struct(F.lit(True).alias("is_text"), state.cast("string").alias("canonical"), error.alias("error")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _judge_chunk(config: Config, secret: str):
+    """Judges the work of one question, request by request."""
+    most = config.max_request_bytes if config.mode == "optimized" else None
+    added = [pa.field("p", pa.float64()), *(pa.field(n, pa.string()) for n in ("label", "error_kind", "error")), pa.field("sent", pa.bool_()), pa.field("size", pa.int64()), pa.field("model", pa.string()), *(pa.field(n, pa.int64()) for n in ("input_tokens", "output_tokens")), *(pa.field(n, pa.float64()) for n in ("seconds", "serialize"))]
+
+    def run(table: pa.Table) -> pa.Table:
         provider = make_provider(config, secret)
-        pdf = pdf.sort_values("no")
-        work = [Request(k, State(bool(t), c), x, tuple(ch)) for k, t, c, x, ch in zip(*(pdf[n] for n in IDENTITY))]
+        table = table.sort_by("no")
+        kind, text, choices = (table[n][0].as_py() for n in QUESTION)
+        states = [State(*x) for x in zip(table["is_text"].to_pylist(), table["canonical"].to_pylist())]
+        bounds = [0, *(np.flatnonzero(np.diff(table["pack"].to_numpy())) + 1).tolist(), len(states)]
         rows: list[tuple] = []
-        for pack in packs(work, limit, config.max_request_bytes, provider):
-            out = ask(provider, pack, config.max_request_bytes if config.mode == "optimized" else None)
+        for start, end in zip(bounds, bounds[1:]):
+            out = ask(provider, [Request(kind, x, text, tuple(choices), f"r{i}") for i, x in enumerate(states[start:end])], most)
             usage = out.reply.usage if out.reply and out.reply.usage else (None, None)
-            for i, r in enumerate(pack):
+            model, error = out.reply.model if out.reply else None, (out.error.kind, out.error.message) if out.error else (None, None)
+            for i in range(end - start):
                 value = out.reply.answers[f"r{i}"] if out.reply else None
-                error = (out.error.kind, out.error.message) if out.error else (None, None)
                 # What belongs to the request stands in its first row.
-                request = (out.sent, len(pack), out.reply.model if out.reply else None, *usage, out.seconds, out.reply.serialize_seconds if out.reply else 0.0) if i == 0 else (None, None, out.reply.model if out.reply else None, *[None] * 4)
-                rows.append((r.kind, r.state.is_text, r.state.canonical, r.text, list(r.choices), value if r.kind == NOUL else None, value if r.kind == CHOICE else None, *error, *request))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+                request = (out.sent, end - start, model, *usage, out.seconds, out.reply.serialize_seconds if out.reply else 0.0) if i == 0 else (None, None, model, *[None] * 4)
+                rows.append((value if kind == NOUL else None, value if kind == CHOICE else None, *error, *request))
+        own = {n: table[n] for n in IDENTITY[:-1]} | {"choices": pc.cast(table["choices"], pa.list_(pa.field("element", table["choices"].type.value_type)))}
+        return pa.table(own | {f.name: pa.array(x, f.type) for f, x in zip(added, zip(*rows))})
 
     return run
 
@@ -109,6 +130,11 @@ def _sizes(config: Config, secret: str, limit: int):
     return F.arrow_udf(run, "array<long>")
 
 
+def _places(limit: int) -> list[int]:
+    """The places of a full request to which each of a judgment's sizes applies."""
+    return [1, *(min(limit, 10 ** (d + 1)) - 10**d for d in range(len(str(limit - 1))))]
+
+
 def _cut_segment(length: int, limit: int, max_bytes: int):
     """One row for a segment: its packs from every place where one may start."""
 
@@ -209,7 +235,8 @@ class JudgmentSession:
             if not isinstance(state_type, (StringType, StructType)) and state_type.typeName() != "void":
                 raise invalid("unsupported state type: expected STRUCT or VARCHAR")
             present = s.state.isNotNull() & s.text.isNotNull() & labels.isNotNull()
-            code = _encoder(kind)(s.state, F.coalesce(s.text.cast("string"), F.lit("")), F.coalesce(labels, none), present)
+            encode = _encoder(kind) if isinstance(state_type, StructType) else partial(_text_code, kind)
+            code = encode(s.state, F.coalesce(s.text.cast("string"), F.lit("")), F.coalesce(labels, none), present)
             columns.append(F.struct(F.lit(kind).alias("kind"), code.alias("code"), s.text.alias("text"), labels.alias("choices"), present.alias("present")).alias(f"j{i}"))
         row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
         encoded = work.write(df.select(row, F.monotonically_increasing_id().alias("uid"), *columns))
@@ -263,17 +290,22 @@ class JudgmentSession:
     def _ask(self, todo: DataFrame, config: Config, provider: Provider, limit: int, work: Workspace) -> DataFrame:
         """The answers of judgments, each question's numbered from 0 and cut in this order into requests as full as ``limit`` and
         bytes allow, so that only its last one is not full."""
-        # Numbers: judgments are dealt by a hash, counted by deal and ranked inside their deal.
-        counts = todo.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n"))
-        dealt = todo.join(counts, QUESTION).withColumn("deal", F.pmod(F.xxhash64("canonical", "copy"), F.expr(f"n div {CHUNK} + 1")))
-        if limit > 1:
-            dealt = dealt.withColumn("bytes", _sizes(config, getattr(provider, "credential", ""), limit)(*IDENTITY))
+        # Numbers: judgments are dealt by a hash, counted by deal and ranked inside their deal.  A question of fewer than CHUNK
+        # judgments has one deal; the others are few enough to be sent to all tasks, so that no task gets a whole question.
+        secret = getattr(provider, "credential", "")
+        counts = work.write(todo.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("canonical")).cast("long").alias("longest")))
+        large = F.broadcast(counts.where(F.col("n") >= CHUNK).drop("longest"))
+        dealt = todo.join(large, QUESTION, "left").withColumn("deal", F.pmod(F.xxhash64("canonical", "copy"), F.expr(f"coalesce(n, 0) div {CHUNK} + 1"))).drop("n")
+        short = limit > 1 and self._may_be_short(counts, config, secret, limit)
+        if short:
+            dealt = dealt.withColumn("bytes", _sizes(config, secret, limit)(*IDENTITY))
         dealt = work.write(dealt)
-        before = Window.partitionBy(*QUESTION).orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-        deals = dealt.groupBy(*QUESTION, "deal").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+        whole = Window.partitionBy(*QUESTION)
+        before = F.sum("m").over(whole.orderBy("deal").rowsBetween(Window.unboundedPreceding, -1))
+        deals = dealt.groupBy(*QUESTION, "deal").agg(F.count(F.lit(1)).alias("m")).select(*QUESTION, "deal", F.coalesce(before, F.lit(0)).alias("before"), F.sum("m").over(whole).alias("n"))
         place = F.row_number().over(Window.partitionBy(*QUESTION, "deal").orderBy("canonical", "copy")) - 1
         numbered = dealt.withColumn("place", place).join(deals, [*QUESTION, "deal"]).withColumn("no", F.col("before") + F.col("place")).drop("before")
-        reach = self._reach(dealt, limit, config.max_request_bytes) if limit > 1 else None
+        reach = self._reach(dealt, limit, config.max_request_bytes) if short else None
         if reach:
             packed, limit = self._pack_by_bytes(work.write(numbered), reach, config.max_request_bytes, work), reach
         else:
@@ -289,12 +321,17 @@ class JudgmentSession:
             turn = F.pmod(F.col("turn").cast("long") + F.xxhash64(*QUESTION), F.lit(config.max_inflight)).cast("int")
             chunks = chunks.withColumn("slot", F.get(F.array(*[F.lit(x) for x in slots]), turn)).repartition(config.max_inflight, "slot")
             keys = ["slot", *keys]
-        return chunks.groupBy(*keys).applyInPandas(_judge_chunk(config, getattr(provider, "credential", ""), limit), ANSWER)
+        return chunks.groupBy(*keys).applyInArrow(_judge_chunk(config, secret), ANSWER)
+
+    def _may_be_short(self, counts: DataFrame, config: Config, secret: str, limit: int) -> bool:
+        """Whether the longest state of a question, ``limit`` times, might not fit a request; a byte of a state takes 6 at most."""
+        empty = _sizes(config, secret, limit)("kind", F.lit(True), F.lit(""), "text", "choices")
+        full = sum(F.get("bytes", F.lit(d)) * n for d, n in enumerate(_places(limit))) + 6 * limit * F.col("longest")
+        return not counts.withColumn("bytes", empty).where(full > config.max_request_bytes).isEmpty()
 
     def _reach(self, dealt: DataFrame, limit: int, max_bytes: int) -> int | None:
         """The most judgments that bytes may let into one request, if they may let in fewer than ``limit``; else None."""
-        places = [1, *(min(limit, 10 ** (d + 1)) - 10**d for d in range(len(str(limit - 1))))]
-        largest = sum(F.max(F.get("bytes", F.lit(d))) * n for d, n in enumerate(places))
+        largest = sum(F.max(F.get("bytes", F.lit(d))) * n for d, n in enumerate(_places(limit)))
         found = dealt.groupBy(*QUESTION).agg(largest.alias("full"), F.min(F.array_min("bytes")).alias("least")).agg(F.max("full").alias("full"), F.min("least").alias("least")).first()
         return min(limit, 1 + max_bytes // found["least"]) if found["full"] is not None and found["full"] > max_bytes else None
 

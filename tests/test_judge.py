@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavel.functions.sql import register
-from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request, text_state
+from gavel.functions.values import CHOICE, NOUL, WHITE, JudgmentError, Request, text_state
 from gavel.operators.asking import crossings, ends, pack_numbers, packs, sizes
 from gavel.plans import judge
 from gavel.plans.judge import JudgmentSession, choice, prob, yes
@@ -186,6 +186,42 @@ def test_requests_that_bytes_limit(spark, serve, conf, monkeypatch, max_bytes):
         assert json.loads(session.last_profile())["counts"]["batch_size_histogram"] == {str(n): m for n, m in want.items()}
 
 
+def test_no_task_gets_a_whole_question(spark, conf, monkeypatch):
+    """Every table between the distinct judgments of one question and their answers is written by several tasks, none of which has most rows."""
+    monkeypatch.setattr(judge, "CHUNK", 32)
+    monkeypatch.setattr(judge.Workspace, "drop_all_but", lambda *_: None)
+    tables, write = [], judge.Workspace.write
+    monkeypatch.setattr(judge.Workspace, "write", lambda self, df: tables.append(write(self, df)) or tables[-1])
+    conf(executionMode="optimized", batch_enabled="true")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        for max_bytes in ("262144", "5000"):
+            conf(maxRequestBytes=max_bytes)
+            JudgmentSession(spark).judge(spark.range(1_000).select(F.col("id").cast("string").alias("s")), prob("p", F.col("s"), F.lit("q")))
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    shares = [[r["count"] for r in t.groupBy(F.input_file_name()).count().collect()] for t in tables]
+    assert sum(sum(x) == 1_000 for x in shares) == 11 and all(max(x) < 500 for x in shares if sum(x) == 1_000)
+
+
+def test_text_states_are_checked_like_requests(spark):
+    texts = ["q", " ", "", WHITE, "\x1c", "\u3000q"]
+    labels = [["a", "b"], ["a"], [], ["a", None], ["a", "a"], ["a", "\u2003\x85"], ["a", "\x1f"], ["", ""], [" ", None]]
+    df = spark.createDataFrame([(t, c) for t in texts for c in labels], "q string, c array<string>")
+    codes = [judge._text_code(kind, F.lit("s"), F.col("q"), F.col("c"), F.lit(True))["error"] for kind in (NOUL, CHOICE)]
+    for q, c, *errors in df.select("q", "c", *codes).collect():
+        for kind, error in zip((NOUL, CHOICE), errors):
+            try:
+                Request(kind, text_state("s"), q, () if kind == NOUL else tuple(c)).check()
+                want = None
+            except JudgmentError as e:
+                want = e.message
+            assert error == want
+
+
 @pytest.mark.parametrize("mode", ["optimized", "row"])
 def test_peak(spark, serve, conf, mode):
     stub = serve("slow", executionMode=mode)
