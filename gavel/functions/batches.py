@@ -42,6 +42,14 @@ def distinct(*columns: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return first, back.ravel()
 
 
+def slices(columns: list[pa.Array], most: int) -> list[list[pa.Array]]:
+    """The rows in order, halved until a slice has ``most`` bytes or one row."""
+    n = len(columns[0])
+    if n < 2 or sum(c.nbytes for c in columns) <= most:
+        return [columns]
+    return slices([c.slice(0, n // 2) for c in columns], most) + slices([c.slice(n // 2) for c in columns], most)
+
+
 def spread(values: list, back: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind).take(pa.array(back))
 

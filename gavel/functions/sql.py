@@ -16,14 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gavel.functions.batches import distinct, read, spread
+from gavel.functions.batches import distinct, read, slices, spread
 from gavel.functions.values import CHOICE, NOUL, JudgmentError, Request
 from gavel.operators.broker import Broker
 from gavel.plans.judge import JudgmentSession
-from gavel.sources.providers import SETTINGS, make_provider, read_config
+from gavel.sources.providers import SETTINGS, Provider, make_provider, read_config
 
-#: Judgments whose answers a task remembers.
-REMEMBERED = 100_000
+#: Judgments whose answers a task remembers, and the most characters they hold.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 16 << 20
+#: Bytes of an Arrow batch that are read at a time.
+READ = 4 << 20
 
 
 class Task:
@@ -33,6 +35,7 @@ class Task:
         self.address, self.key = address, key
         self.link: Connection | None = None
         self.known: dict[Request, object] = {}
+        self.chars = 0
         self.mute = False
 
     def __reduce__(self):
@@ -68,31 +71,58 @@ class Task:
             except JudgmentError:
                 self.mute = True
 
+    def answer(self, provider: Provider, r: Request) -> object:
+        """The answer of a provider that runs in the task; what is remembered for it is bounded by number and length."""
+        value = provider.judge([r]).answers[r.key]
+        chars = len(r.state.canonical) + len(r.text) + sum(map(len, r.choices))
+        if len(self.known) >= REMEMBERED or self.chars + chars > REMEMBERED_CHARS:
+            self.known.clear()
+            self.chars = 0
+        if chars <= REMEMBERED_CHARS:
+            self.known[r] = value
+            self.chars += chars
+        return value
+
     def judge(self, kind: str, result: pa.DataType, state: pa.Array, text: pa.Array, choices: pa.Array | None = None) -> pa.Array:
-        first, back = distinct(*(c for c in (state, text, choices) if c is not None))
-        counts = {"input_rows": len(back), "null_rows": 0, "valid_rows": 0}
+        """A batch's answers.  Long texts are read in slices, each of which is let go before the next."""
+        whole = [c for c in (state, text, choices) if c is not None]
+        counts = {"input_rows": len(state), "null_rows": 0, "valid_rows": 0}
+
+        def requests_of(part: list[pa.Array]) -> tuple[list[Request | None], np.ndarray]:
+            first, back = distinct(*part)
+            return read(kind, first, *part[:2], part[2] if len(part) > 2 else None), back
+
+        parts, null_rows = slices(whole, READ), 0
         try:
-            requests = read(kind, first, state, text, choices)
-            absent = np.array([r is None for r in requests], bool)
-            counts["null_rows"] = int(absent[back].sum())
-            if absent.all():
+            for part in parts:  # every row is checked before the first is judged
+                requests, back = requests_of(part)
+                null_rows += int(np.array([r is None for r in requests], bool)[back].sum())
+            counts["null_rows"] = null_rows
+            if null_rows == len(state):
                 self.count(counts)
-                return pa.nulls(len(back), result)
+                return pa.nulls(len(state), result)
             config = read_config(self.conf().get)
             provider = make_provider(config, "") if config.provider.strip().lower() == "mock" else None
         except JudgmentError:
             self.count(counts, True)
             raise
-        counts["valid_rows"] = len(back) - counts["null_rows"]
+        counts["valid_rows"] = len(state) - null_rows
         if config.mode == "row" and provider is not None:
-            asked = [r for r in requests if r is not None and r not in self.known]
-            if len(self.known) + len(asked) > REMEMBERED:
-                self.known.clear()
-                asked = [r for r in requests if r is not None]
-            for r in asked:
-                self.known[r] = provider.judge([r]).answers[r.key]
-            self.count(counts | {"unique_judgments": counts["valid_rows"], "provider_invocations": len(asked)})
-            return spread([None if r is None else self.known[r] for r in requests], back, result)
+            out, asked = [], 0
+            for part in parts:
+                if len(parts) > 1:
+                    requests, back = requests_of(part)
+                values = []
+                for r in requests:
+                    value = None if r is None else self.known.get(r)
+                    if r is not None and value is None:
+                        value, asked = self.answer(provider, r), asked + 1
+                    values.append(value)
+                out.append(spread(values, back, result))
+            self.count(counts | {"unique_judgments": counts["valid_rows"], "provider_invocations": asked})
+            return pa.concat_arrays(out)
+        if len(parts) > 1:
+            requests, back = requests_of(whole)
         if config.mode == "row":  # a call for each row
             requests, back = [requests[i] for i in back], np.arange(len(back))
         answers = iter(self.call("judge", counts, [(r.kind, r.state.is_text, r.state.canonical, r.text, r.choices) for r in requests if r is not None]))

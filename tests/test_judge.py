@@ -5,9 +5,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gavel.functions import sql as functions
 from gavel.functions.sql import register
 from gavel.functions.values import CHOICE, NOUL, WHITE, JudgmentError, Request, text_state
 from gavel.operators.asking import crossings, ends, pack_numbers, packs, sizes
@@ -330,6 +332,28 @@ def test_sql_honours_settings(spark, serve, conf):
     assert counts["status"] == "failed" and counts["counts"]["input_rows"] == 1 and counts["counts"]["valid_rows"] == 0 and stub.requests == 10
 
 
+def test_task_memory_does_not_grow_with_texts(monkeypatch):
+    """Long texts are read a few at a time, and those whose answers are remembered stay within the bound."""
+    monkeypatch.setattr(functions, "REMEMBERED_CHARS", 20_000, raising=False)
+    monkeypatch.setattr(functions, "READ", 10_000, raising=False)
+    monkeypatch.setattr(functions.Task, "conf", lambda self: {})
+    task, tallies, held, read = functions.Task(("", 0), b""), [], [], functions.read
+    monkeypatch.setattr(task, "count", lambda counts, failed=False: tallies.append((counts, failed)))
+    monkeypatch.setattr(functions, "read", lambda *args: held.append(read(*args)) or held[-1])
+    texts = [None if i % 7 == 0 else f"{i % 150} " + "x" * (i % 5 * 400) for i in range(200)] + ["y" * 30_000, "short", "short"]
+    ask = lambda texts, q: task.judge(NOUL, pa.float64(), pa.array(texts, pa.string()), pa.array([q] * len(texts)))
+    got = ask(texts, "q").to_pylist()
+    assert got == [None if t is None else Mock().judge([Request(NOUL, text_state(t), "q")]).answers["r0"] for t in texts]
+    assert sum(len(r.state.canonical) for r in task.known) <= 20_000
+    assert max(sum(len(r.state.canonical) for r in x if r) for x in held if len(x) > 1) <= 10_000
+    (counts, failed), nulls = tallies.pop(), texts.count(None)
+    assert not failed and (counts["input_rows"], counts["null_rows"], counts["valid_rows"]) == (203, nulls, 203 - nulls)
+    task.known.clear()
+    with pytest.raises(JudgmentError, match="criterion"):
+        task.judge(NOUL, pa.float64(), pa.array(texts), pa.array(["q"] * 202 + [" "]))
+    assert not task.known and tallies == [({"input_rows": 203, "null_rows": 0, "valid_rows": 0}, True)]  # no row was judged
+
+
 def test_sql_cancel(spark, serve):
     """A cancelled query stops asking, and says so in its profile."""
     stub = serve("stuck", executionMode="row", maxInflight="1")
